@@ -95,11 +95,10 @@ class BacktrackingBpe:
         self.crosses_marks = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.units = _Units(lambda unit: self._unit(unit.replace(" ", MARK)))
-        #: Punctuation that no piece holds behind a letter: a unit of letters ends before it.
+        #: A unit of letters ends before punctuation; letters that stand before it in a piece are left out.
         letter = re.compile(r"[^\W\d_]")
-        inside = {p[i + 1] for p in self.ids for i in range(len(p) - 1) if letter.match(p[i])}
-        cuts = re.escape("".join(c for c in CUTS if c not in inside))
-        self.cut = re.compile(rf"\n|  +[^ \n]*| ?[^\W\d_]+(?=[ \n{cuts}]|\Z)| ?[^ \n]+| ")
+        odd = re.escape("".join(sorted({p[i] for p in self.ids for i in range(len(p) - 1) if p[i + 1] in CUTS and letter.match(p[i])})))
+        self.cut = re.compile(rf"\n|  +[^ \n]*| ?[^\W\d_{odd}]+(?=[ \n{re.escape(CUTS)}]|\Z)| ?[^ \n]+| ")
 
     def merge(self, text: str) -> list[str]:
         """The pieces by merging neighbours in order of score, then place."""
@@ -135,31 +134,40 @@ class BacktrackingBpe:
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a text whose characters are all pieces."""
+        n = len(text)
         found: list[list[int]] = [[1] for _ in text]
         for end, length in self.machine.iter(text):
             found[end + 1 - length].append(length)  # ends ascend, so lengths do
-        failed = bytearray(len(text) + 1)
+        failed = bytearray(n + 1)
         out: list[str] = []
         tries: list[int] = []  # of each piece, its number among the lengths found at its place
-        place, k = 0, len(found[0]) - 1 if text else -1
-        while place < len(text):
+        pairs, last, place = self.pairs, "", 0
+        k = len(found[0]) - 1 if n else -1
+        while place < n:
+            lengths = found[place]
             while k >= 0:
-                length = found[place][k]
-                piece = text[place : place + length]
-                if not failed[place + length] and (not out or self.together(out[-1], piece)):
-                    break
+                end = place + lengths[k]
+                if not failed[end]:
+                    piece = text[place:end]
+                    if not last:
+                        break
+                    if (good := pairs.get((last, piece))) is None:
+                        good = self.together(last, piece)
+                    if good:
+                        break
                 k -= 1
             if k >= 0:
                 out.append(piece)
                 tries.append(k)
-                place += length
-                k = len(found[place]) - 1 if place < len(text) else -1
+                last, place = piece, end
+                k = len(found[end]) - 1 if end < n else -1
             else:
                 failed[place] = 1
                 if not out:
                     return self.merge(text)
                 place -= len(out.pop())
                 k = tries.pop() - 1
+                last = out[-1] if out else ""
         return out
 
     def _unit(self, text: str) -> tuple[int, ...]:
@@ -167,6 +175,8 @@ class BacktrackingBpe:
         if (piece := self.ids.get(text)) is not None and len(text) == 1:
             return (piece,)
         ids: list[int] = []
+        if not self.loose and MARK + MARK not in text and not self.crosses_marks and all(map(self.ids.__contains__, text)):
+            return tuple(map(self.ids.__getitem__, self.backtrack(text)))
         direct = MARK + MARK in text or self.crosses_marks or (self.loose and not self.loose.isdisjoint(text))
         start = 0
         for at in [i for i, c in enumerate(text) if c not in self.ids and c not in self.loose] + [len(text)]:
