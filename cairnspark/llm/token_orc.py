@@ -7,9 +7,9 @@ documents reads the stripes that may hold them. Files hold ranges of doc_id in
 order; a row has the number of ids before it in its file, and the ids before
 a file come from one sum for each file.
 
-The tokenizer runs on one word at a time and remembers short ones: this
-vocabulary's normalizer and splitting rule never look across white space. A
-text that holds the string of a special token is encoded as a whole.
+The tokenizer runs on one word at a time and remembers them: this vocabulary's
+normalizer and splitting rule never look across white space, nor from a letter
+to the punctuation behind it. A text that holds the string of a special token is encoded as a whole.
 
 Defined results: null and empty texts hold the end id alone; null doc_ids come
 first; rows with equal doc_ids are ordered by their text. Other columns are
@@ -19,7 +19,9 @@ left out.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -33,7 +35,9 @@ from . import common
 END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+CACHE_WORDS = 300_000
+#: Cuts a text at spaces and line ends, and between letters and punctuation.
+UNITS = re.compile(r"[^\W\d_]+(?=[ \n,.;:!?]|\Z)|[^ \n]+").findall
 _LOADED: dict[int, WordTokenizer] = {}
 
 
@@ -44,11 +48,11 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_str(model)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.newer: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Puts the ids of words into the newer half of what is remembered."""
+        """Puts the ids of words, as bytes, into the newer half of what is remembered."""
         if len(self.newer) + len(words) > CACHE_WORDS:
             self.older, self.newer = self.newer, {}
         new = []
@@ -58,22 +62,22 @@ class WordTokenizer:
             else:
                 new.append(w)
         for w, coded in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.newer[w] = tuple(coded.ids)
+            self.newer[w] = array("i", coded.ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
-        if missing := set().union(*(w for w in split if w)).difference(self.newer):
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        split = [None if not t or any(s in t for s in self.special) else UNITS(t) for t in texts]
+        found = [None if w is None else list(map(self.newer.get, w)) for w in split]
+        if missing := {w for words, ids in zip(split, found, strict=True) if words and None in ids for w, i in zip(words, ids, strict=True) if i is None}:
             self.learn(list(missing))
         out = []
-        for t, words in zip(texts, split, strict=True):
+        for t, words, ids in zip(texts, split, found, strict=True):
             if words is None:
-                out.append(self.whole.encode(t, add_special_tokens=False).ids if t else [])
-            else:
-                try:
-                    out.append(list(chain.from_iterable(map(self.newer.__getitem__, words))))
-                except KeyError:  # dropped while this batch's words were learnt
-                    self.learn(list(set(words).difference(self.newer)))
-                    out.append(list(chain.from_iterable(map(self.newer.__getitem__, words))))
+                out.append(array("i", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if t else b"")
+                continue
+            if None in ids:
+                ids = [self.newer[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            out.append(b"".join(ids))
         return out
 
 
@@ -99,15 +103,11 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = END_
     rows = docs.select("doc_id", "text").repartitionByRange(parts or common.shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        tokenizer, before = loaded(model.value), 0
+        tokenizer, before, end = loaded(model.value), 0, array("i", [end_id]).tobytes()
         for b in batches:
             coded = tokenizer.encode(b.column(1).to_pylist())
-            sizes = np.fromiter((len(c) + 1 for c in coded), np.int64, len(coded))
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.empty(int(ends[-1]), np.int32)
-            for c, start in zip(coded, ends, strict=False):
-                flat[start : start + len(c)] = c
-            flat[ends[1:] - 1] = end_id
+            ends = np.concatenate([[0], np.cumsum([len(c) // 4 + 1 for c in coded], dtype=np.int64)])
+            flat = np.frombuffer(b"".join(chain.from_iterable((c, end) for c in coded)), np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(before + ends[:-1]), ids], names=["doc_id", "part", "before", "ids"])
             before += int(ends[-1])
