@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
 import zlib
 from array import array
 from itertools import chain
@@ -36,8 +38,10 @@ END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 CACHE_WORDS = 300_000
+#: Letters that end in a mark once normalized and lower-cased: the splitting rule joins such marks to punctuation.
+ODD = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
 #: Cuts a text at spaces and line ends, and between letters and punctuation.
-UNITS = re.compile(r"[^\W\d_]+(?=[ \n,.;:!?]|\Z)|[^ \n]+").findall
+UNITS = re.compile(rf"[^\W\d_{ODD}]+(?=[ \n,.;:!?]|\Z)|[^ \n]+").findall
 _LOADED: dict[int, WordTokenizer] = {}
 
 
