@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, sentencepieces, token_orc
+from . import langid, secret_crf, sentencepieces, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm_language_id": langid.query,
     "op6_sentencepiece_backtracking": sentencepieces.query,
+    "op8_crf_secret_scan": secret_crf.query,
     "op10_orc_token_output": token_orc.query,
 }
 
