@@ -293,7 +293,7 @@ def _flags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(n, bool), np.zeros(n, bool)
     digits = np.searchsorted(np.flatnonzero(_DIGIT[data]), offsets)
-    return has_run(~_HEX[data], LEAST_HEX), (digits[offsets[1:]] > digits[offsets[:-1]]) | has_run(_SPACE[data], 20)
+    return has_run(~_HEX[data], LEAST_HEX), (digits[1:] > digits[:-1]) | has_run(_SPACE[data], 20)
 
 
 def scan(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
