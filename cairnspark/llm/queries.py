@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, secret_crf, sentencepieces, token_orc
+from . import html_mincut, langid, secret_crf, sentencepieces, token_orc, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_min_cut": html_mincut.query,
+    "op2_warc_zip": warc_zip.query,
     "op3_ppm_language_id": langid.query,
     "op6_sentencepiece_backtracking": sentencepieces.query,
     "op8_crf_secret_scan": secret_crf.query,
