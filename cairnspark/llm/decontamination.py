@@ -9,7 +9,9 @@ shifted by their offsets in the window, are intersected; the words around the
 rarest term then decide whether the whole window stands there.
 
 Words are runs of letters and digits after A-Z are lower-cased; characters
-beyond ASCII count as letters.
+beyond ASCII count as letters. Terms are looked up in the lower case of all
+scripts, which is quick and misses nothing; whole windows are compared in the
+case that the words have.
 
 Defined results: null and empty texts have no words and are clean; items
 without words give no window; repeated rows are judged alike, each with a row
@@ -27,14 +29,18 @@ from . import common
 WINDOW, RAREST = 10, 2
 #: Test tables of up to so many rows (of at most a few hundred bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands behind the last word of each document; no word equals it.
 LAST = "\n"
 
 
 def raw_words(text: Column) -> Column:
-    """The words of a text; the first and the last may be empty strings."""
-    return F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), BREAKS, -1)
+    """The words of a text before they are lower-cased; the first and the last may be empty strings."""
+    return F.split(F.coalesce(text, F.lit("")), BREAKS, -1)
+
+
+def lowered(words: Column) -> Column:
+    return F.transform(words, common.ascii_lower)
 
 
 def word_count(words: Column) -> Column:
@@ -49,7 +55,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """win (a number), words, and ids of the items of each different window."""
-    words = items.select("item_id", F.filter(raw_words(F.col("text")), lambda w: w != "").alias("all")).where(F.size("all") > 0)
+    words = items.select("item_id", lowered(F.filter(raw_words(F.col("text")), lambda w: w != "")).alias("all")).where(F.size("all") > 0)
     starts = words.select("item_id", "all", F.explode(F.sequence(F.lit(0), F.greatest(F.size("all") - window, F.lit(0)))).alias("i"))
     each = starts.select("item_id", F.slice("all", F.col("i") + 1, window).alias("words"))
     return each.groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).withColumn("win", F.sha2(F.array_join("words", " "), 256))
@@ -68,11 +74,11 @@ class PositionalIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, windows: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> PositionalIndex:
-        positions = windows.select("win", "words", F.posexplode("words").alias("offset", "term")).groupBy("win", "words", "term").agg(F.min("offset").alias("offset"))
+        positions = windows.select("win", "words", F.posexplode(F.transform("words", F.lower)).alias("offset", "term")).groupBy("win", "words", "term").agg(F.min("offset").alias("offset"))
         positions = common.stored(positions, "test-terms")
         vocabulary = positions.select("term").distinct()
         n = vocabulary.count()
-        found = docs.select(F.explode(raw_words(F.col("text"))).alias("term"))
+        found = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
         frequency = found.join(small(vocabulary, n), "term").groupBy("term").agg(F.count("*").alias("df"))
         order = Window.partitionBy("win").orderBy("df", "term")
         size = F.count("*").over(Window.partitionBy("win"))
@@ -83,7 +89,7 @@ class PositionalIndex:
         wanted = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([(LAST,)], "term string"))
         rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("words"))
         rows = rows.withColumn("n_words", word_count(F.col("words")))
-        tokens = rows.select("doc_id", "text_key", "n_words", "words", F.posexplode(F.array_append("words", F.lit(LAST))).alias("pos", "term"))
+        tokens = rows.select("doc_id", "text_key", "n_words", "words", F.posexplode(F.array_append("words", F.lit(LAST))).alias("pos", "word")).withColumn("term", F.lower("word"))
         low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
         around = F.when(F.col("term") != LAST, F.slice("words", low + 1, F.col("pos") - low + window))
         postings = tokens.join(small(wanted, n_terms + 1), "term").select("doc_id", "text_key", "n_words", "term", "pos", around.alias("around"), low.alias("around_from"))
@@ -96,7 +102,7 @@ class PositionalIndex:
         """doc_id, text_key, win, start, length of each place where a whole window stands."""
         lists = self.postings.where(F.col("term") != LAST).join(small(self.terms, self.n_terms), "term")
         start = F.col("pos") - F.col("offset")
-        whole = F.when((F.col("rank") == 1) & (start >= F.col("around_from")), F.slice("around", F.greatest(start - F.col("around_from"), F.lit(0)) + 1, F.size("words")) == F.col("words"))
+        whole = F.when((F.col("rank") == 1) & (start >= F.col("around_from")), lowered(F.slice("around", F.greatest(start - F.col("around_from"), F.lit(0)) + 1, F.size("words"))) == F.col("words"))
         adjusted = lists.where(start >= 0).select("doc_id", "text_key", "win", start.alias("start"), F.size("words").alias("length"), "rank", "lists", whole.alias("whole")).where((F.col("rank") > 1) | F.col("whole"))
         both = adjusted.groupBy("doc_id", "text_key", "win", "start", "length", "lists").agg(F.count_distinct("rank").alias("met"), F.max("whole").alias("whole"))
         return both.where((F.col("met") == F.col("lists")) & F.col("whole")).select("doc_id", "text_key", "win", "start", "length")
@@ -107,7 +113,7 @@ class PositionalIndex:
             raise ValueError("slop must be from 1 to the window's length less 1")
         lists = self.postings.where(F.col("term") != LAST).join(small(self.terms.where("rank = 1"), self.n_terms), "term")
         low = F.greatest(F.col("pos") - slop, F.lit(0))
-        words = F.slice("around", low - F.col("around_from") + 1, F.col("pos") - low + slop + 1)
+        words = lowered(F.slice("around", low - F.col("around_from") + 1, F.col("pos") - low + slop + 1))
         return lists.where(F.size(F.array_except("words", words)) == 0).select("doc_id", "text_key", "win", "pos")
 
 
