@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_mincut, jaccard, langid, secret_crf, sentencepieces, token_orc, warc_zip
+from . import decontamination, hnsw, html_mincut, jaccard, langid, secret_crf, sentencepieces, token_orc, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_min_cut": html_mincut.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece_backtracking": sentencepieces.query,
     "op7_positional_decontamination": decontamination.query,
     "op8_crf_secret_scan": secret_crf.query,
+    "op9_sharded_hnsw": hnsw.query,
     "op10_orc_token_output": token_orc.query,
 }
 
