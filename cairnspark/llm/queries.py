@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hnsw, html_mincut, jaccard, langid, secret_crf, sentencepieces, token_orc, warc_zip
+from . import decontamination, hnsw, html_mincut, jaccard, langid, secret_crf, sentencepieces, suffix_dedup, token_orc, warc_zip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_min_cut": html_mincut.query,
     "op2_warc_zip": warc_zip.query,
     "op3_ppm_language_id": langid.query,
     "op4_heavy_light_jaccard": jaccard.query,
+    "op5_bucket_pointer_dedup": suffix_dedup.query,
     "op6_sentencepiece_backtracking": sentencepieces.query,
     "op7_positional_decontamination": decontamination.query,
     "op8_crf_secret_scan": secret_crf.query,
