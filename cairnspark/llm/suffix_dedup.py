@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
             lead = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
             later = owners[order] > owners[order][lead]
             gone = order[same & later]
-            keep = np.sort(order[~same])
+            keep = np.sort(order[~(same & later)])  # a text's own repeats are judged each
             n = np.array([len(gone)], _I64)
             local = b"".join((_blob(n), _blob(owners[gone]), _blob(firsts[gone].astype(_I32)), _blob(counts[gone].astype(_I32))))
             rows = []
