@@ -64,6 +64,8 @@ class PpmModel:
     @classmethod
     def fit(cls, rows: list[tuple[str, bytes]]) -> PpmModel:
         langs = sorted({lang for lang, _ in rows})
+        if not langs:
+            return cls([], np.zeros(256, np.int64), 1, [], [], np.zeros((0, 0), np.float32))
         seen = np.zeros(256, bool)
         for _, text in rows:
             seen[np.frombuffer(text, np.uint8)] = True
