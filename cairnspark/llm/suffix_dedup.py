@@ -40,7 +40,7 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 LEFT, RIGHT = 8, 22
 #: Bytes of text that are hashed at once (below 1 << 24), and anchors or stretches that a task gathers before it packs them.
-SLICE, CHUNK = 1 << 20, 1_000_000
+SLICE, CHUNK = 1 << 19, 400_000
 #: Spans of up to so many documents (about 50 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS = 400_000
 _RANDOM = np.random.default_rng(1729).integers(0, 2**64, 256, dtype=np.uint64)
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
                     prints = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in bits], _U64)
                     held.append((mix(found.hash[hit][some] + side[some]), ids[owner[some]], lo, hi - lo + 1, prints, bits))
                     size += len(some)
-            if size >= CHUNK // 4:
+            if size >= CHUNK // 2:
                 yield flush()
                 held, size, turn = [], 0, turn + 1
         if size:
@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
         cut = 0
         while cut < len(keep):
             total = np.cumsum(counts[keep[cut:]].astype(_I64) + LENGTH - 1)
-            stop = cut + max(1, int(np.searchsorted(total, 8 << 20, "right")))
+            stop = cut + max(1, int(np.searchsorted(total, 1 << 20, "right")))
             while stop < len(keep) and keys[keep[stop]] == keys[keep[stop - 1]]:
                 stop += 1
             some = keep[cut:stop]
@@ -356,7 +356,10 @@ def removal(docs: DataFrame) -> DataFrame:
         aside = F.coalesce(F.sha2("text", 256) != F.col("least"), F.lit(False))
         copies = copies.join(several, F.col("doc_id") == F.col("several"), "left").where("least is null or hash = least").select("doc_id", "hash")
     kept = _restricted(named.where(~aside).select("doc_id", "text"), common.stored(copies.select("doc_id").distinct(), "copy-ids"), "left_anti")
-    spans = common.stored(repeated_spans(kept, shared_anchors(kept)), "spans")
+    shared = common.stored(shared_anchors(kept), "anchors")
+    common.release(docs.sparkSession)
+    spans = common.stored(repeated_spans(kept, shared), "spans")
+    common.release(docs.sparkSession)
     spans = F.broadcast(spans) if spans.count() <= BROADCAST_DOCS else spans
     marks = copies.select(F.col("doc_id").alias("copy"), F.col("hash").alias("copy_hash"))
     marks = F.broadcast(marks) if marks.count() <= BROADCAST_DOCS else marks
