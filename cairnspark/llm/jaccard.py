@@ -18,9 +18,9 @@ rest is a size-aware heavy-light join between class representatives:
    of theirs. The boundary is the size at which the summed cost of both, by
    size band, is least. Sets just below it do both, so that no link across
    the boundary is lost.
-4. *Links.* In each list every set is first compared with one pivot of about
-   its size, which joins large groups of near copies without all their pairs.
-   Then each set that is outside of the largest component of a list is
+4. *Links.* In some rounds each set is compared with the pivot that it shares
+   most lists with, of those in the largest components of its lists, which
+   joins large groups of near copies without all their pairs. Then each set that is outside of the largest component of a list is
    compared with all members of other components. A comparison is exact.
 
 Hashes of shingles and of sets have 64 and 128 bits.
@@ -44,6 +44,8 @@ from .graph import connected_components
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Sets of up to SMALL shingles exchange all of them; sets of up to SMALL_PARTNER may link with those.
 SMALL, SMALL_PARTNER = 48, 64
+#: Rounds in which sets outside of a list's largest component are compared with a pivot in it, before all pairs that are left.
+PIVOT_ROUNDS = 4
 #: Postings that a task gathers before it packs them.
 CHUNK = 2_000_000
 #: Lists of doc_ids of up to so many rows (8 bytes each) are broadcast; longer ones are joined by a shuffle.
@@ -330,12 +332,23 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(sets: DataFrame, light: int) -> DataFrame:
     """node and root of all sets that link with another."""
     lists = common.stored(signatures(sets, light).withColumn("band", F.floor(F.log("n") / BAND)), "lists")
-    pivots = lists.groupBy("sig", "band").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    tried = lists.join(pivots, ["sig", "band"]).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")).where("a <> b")
-    best = tried.groupBy("a", "b").agg(F.count("*").alias("met")).groupBy("a").agg(F.max(F.struct("met", "b")).alias("best"))
-    first = common.stored(linked(best.select("a", "best.b"), sets), "links")
-    roots = connected_components(first)
-    rooted = common.stored(lists.join(roots, lists["doc_id"] == roots["node"], "left").select("sig", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "rooted")
+    rooted, links, key = lists.withColumn("root", F.col("doc_id")), None, ["sig", "band"]
+    for turn in range(PIVOT_ROUNDS):
+        several = rooted.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key)
+        members = common.stored(rooted.join(several, key), "members")
+        top = members.groupBy(*key, "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")).alias("p"))
+        top = top.groupBy(*key).agg(F.max(F.struct("size", "root", "p.doc_id")).alias("top")).select(*key, F.col("top.root").alias("top"), F.col("top.doc_id").alias("b"))
+        tried = members.join(top, key).where("root <> top").select(F.col("doc_id").alias("a"), "b")
+        best = tried.groupBy("a", "b").agg(F.count("*").alias("met")).groupBy("a").agg(F.max(F.struct("met", "b")).alias("best"))
+        new = common.stored(linked(best.select("a", "best.b"), sets), "links")
+        found = new.count()
+        links = new if links is None else links.union(new)
+        if found:
+            roots = connected_components(links)
+            rooted = common.stored(lists.join(roots, lists["doc_id"] == roots["node"], "left").select(*key, "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "rooted")
+        common.release(sets.sparkSession)
+        if not found:
+            break
     open_lists = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     members = common.stored(rooted.join(open_lists, "sig"), "open")
     largest = members.groupBy("sig", "root").agg(F.count("*").alias("size")).groupBy("sig").agg(F.max(F.struct("size", "root")).alias("top")).select("sig", F.col("top.root").alias("top"))
@@ -343,7 +356,7 @@ def components(sets: DataFrame, light: int) -> DataFrame:
     others = members.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     pairs = outside.join(others, "sig").where((F.col("ra") != F.col("rb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b"))))
     again = linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-    between = again.union(first)
+    between = again.union(links)
     return connected_components(between)
 
 
