@@ -8,8 +8,8 @@ order; a row has the number of ids before it in its file, and the ids before
 a file come from one sum for each file.
 
 The tokenizer runs on one word at a time and remembers them: this vocabulary's
-normalizer and splitting rule never look across white space, nor from a letter
-to the punctuation behind it. A text that holds the string of a special token is encoded as a whole.
+normalizer and splitting rule never look across white space. New words of plain
+letters are merged together, one piece after another. A text that holds the string of a special token is encoded as a whole.
 
 Defined results: null and empty texts hold the end id alone; null doc_ids come
 first; rows with equal doc_ids are ordered by their text. Other columns are
@@ -18,13 +18,12 @@ left out.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
-import unicodedata
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,8 @@ END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 CACHE_WORDS = 300_000
-#: Letters that end in a mark once normalized and lower-cased: the splitting rule joins such marks to punctuation.
-ODD = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalnum())
-#: Cuts a text at spaces and line ends, and between letters and punctuation.
-UNITS = re.compile(rf"[^\W\d_{ODD}]+(?=[ \n,.;:!?]|\Z)|[^ \n]+").findall
+#: Letters whose lower case is one letter and whose composed form is themselves, and one mark behind them: each run of letters and each mark is one piece.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u0513]+)([.,;:!?]?)").fullmatch
 _LOADED: dict[int, WordTokenizer] = {}
 
 
@@ -52,25 +49,48 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_str(model)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.pieces = self._pieces(json.loads(model))
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _pieces(self, model: dict):
+        """The same merges on lower-case pieces between spaces, or None if ids do not tell where a piece ends."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        end, vocab = model["model"].get("end_of_word_suffix"), model["model"]["vocab"]
+        if not end or any(c + end not in vocab for c in pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        pieces = Tokenizer.from_str(json.dumps({**model, "normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return pieces
+
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words, as bytes, into the newer half of what is remembered."""
         if len(self.newer) + len(words) > CACHE_WORDS:
             self.older, self.newer = self.newer, {}
-        new = []
+        plain, joined, counts, other = [], [], [], []
         for w in words:
             if (ids := self.older.get(w)) is not None:
                 self.newer[w] = ids
+            elif self.pieces is not None and (m := PLAIN(w)):
+                plain.append(w)
+                joined.append(w if not m[2] else f"{m[1]} {m[2]}")
+                counts.append(2 if m[2] else 1)
             else:
-                new.append(w)
-        for w, coded in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                other.append(w)
+        if plain:
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(joined).lower()], add_special_tokens=False)[0].ids, np.int32)
+            cuts = (4 * np.concatenate([[0], np.flatnonzero(self.is_end[ids])[np.cumsum(counts) - 1] + 1])).tolist()
+            flat = ids.tobytes()
+            self.newer.update(zip(plain, (flat[i:j] for i, j in pairwise(cuts)), strict=True))
+        for w, coded in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.newer[w] = array("i", coded.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        split = [None if not t or any(s in t for s in self.special) else UNITS(t) for t in texts]
+        split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
         found = [None if w is None else list(map(self.newer.get, w)) for w in split]
         if missing := {w for words, ids in zip(split, found, strict=True) if words and None in ids for w, i in zip(words, ids, strict=True) if i is None}:
             self.learn(list(missing))
