@@ -68,8 +68,6 @@ class WordTokenizer:
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words, as bytes, into the newer half of what is remembered."""
-        if len(self.newer) + len(words) > CACHE_WORDS:
-            self.older, self.newer = self.newer, {}
         plain, joined, counts, other = [], [], [], []
         for w in words:
             if (ids := self.older.get(w)) is not None:
@@ -91,17 +89,18 @@ class WordTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
         split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
-        found = [None if w is None else list(map(self.newer.get, w)) for w in split]
-        if missing := {w for words, ids in zip(split, found, strict=True) if words and None in ids for w, i in zip(words, ids, strict=True) if i is None}:
-            self.learn(list(missing))
+        words = set(chain.from_iterable(w for w in split if w))
+        new = words.difference(self.newer)
+        if new and len(self.newer) + len(new) > CACHE_WORDS:
+            self.older, self.newer, new = self.newer, {}, words
+        if new:
+            self.learn(list(new))
         out = []
-        for t, words, ids in zip(texts, split, found, strict=True):
-            if words is None:
+        for t, words in zip(texts, split, strict=True):
+            if words is not None:
+                out.append(b"".join(map(self.newer.__getitem__, words)))
+            else:
                 out.append(array("i", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if t else b"")
-                continue
-            if None in ids:
-                ids = [self.newer[w] if i is None else i for w, i in zip(words, ids, strict=True)]
-            out.append(b"".join(ids))
         return out
 
 
