@@ -36,7 +36,7 @@ from . import common
 END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Letters whose lower case is one letter and whose composed form is themselves, and one mark behind them: each run of letters and each mark is one piece.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u0513]+)([.,;:!?]?)").fullmatch
 _LOADED: dict[int, WordTokenizer] = {}
@@ -50,6 +50,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_str(model)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.pieces = self._pieces(json.loads(model))
+        self.marks = {m: array("i", self.whole.encode(m, add_special_tokens=False).ids).tobytes() for m in ["", *".,;:!?"]}
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -68,23 +69,24 @@ class WordTokenizer:
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words, as bytes, into the newer half of what is remembered."""
-        plain, joined, counts, other = [], [], [], []
+        known, plain, heads, other = self.newer, [], [], []
         for w in words:
             if (ids := self.older.get(w)) is not None:
-                self.newer[w] = ids
+                known[w] = ids
             elif self.pieces is not None and (m := PLAIN(w)):
-                plain.append(w)
-                joined.append(w if not m[2] else f"{m[1]} {m[2]}")
-                counts.append(2 if m[2] else 1)
+                plain.append((w, head := m[1].lower(), m[2]))
+                if head not in known:
+                    heads.append(head)
             else:
                 other.append(w)
-        if plain:
-            ids = np.array(self.pieces.encode_batch_fast([" ".join(joined).lower()], add_special_tokens=False)[0].ids, np.int32)
-            cuts = (4 * np.concatenate([[0], np.flatnonzero(self.is_end[ids])[np.cumsum(counts) - 1] + 1])).tolist()
-            flat = ids.tobytes()
-            self.newer.update(zip(plain, (flat[i:j] for i, j in pairwise(cuts)), strict=True))
+        if heads := list(dict.fromkeys(heads)):
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(heads)], add_special_tokens=False)[0].ids, np.int32)
+            cuts, flat = [0, *(4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()], ids.tobytes()
+            known.update(zip(heads, (flat[i:j] for i, j in pairwise(cuts)), strict=True))
+        for w, head, mark in plain:
+            known[w] = known[head] + self.marks[mark]
         for w, coded in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.newer[w] = array("i", coded.ids).tobytes()
+            known[w] = array("i", coded.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
@@ -118,7 +120,7 @@ def default_model() -> str:
 
 
 def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID, parts: int | None = None) -> None:
-    """Writes doc_id, part, before (ids before it in the part) and ids to ORC files in ascending order of doc_id."""
+    """Writes doc_id, part, before (ids before it in the part), n and the n ids to ORC files in ascending order of doc_id."""
     spark = docs.sparkSession
     common.tune(spark)
     with open(model_path, encoding="utf-8") as f:
@@ -132,10 +134,10 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = END_
             ends = np.concatenate([[0], np.cumsum([len(c) // 4 + 1 for c in coded], dtype=np.int64)])
             flat = np.frombuffer(b"".join(chain.from_iterable((c, end) for c in coded)), np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(before + ends[:-1]), ids], names=["doc_id", "part", "before", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), ids], names=["doc_id", "part", "before", "n", "ids"])
             before += int(ends[-1])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     options = {"compression": "zstd", "orc.stripe.size": str(STRIPE_BYTES), "orc.create.index": "true", "orc.row.index.stride": str(INDEX_ROWS), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     rows.mapInArrow(run, schema).write.options(**options).orc(path)
 
@@ -159,7 +161,7 @@ def summarize(tokens: DataFrame) -> DataFrame:
     schema = T.StructType([tokens.schema["doc_id"], tokens.schema["part"], tokens.schema["before"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     common.tune(tokens.sparkSession)
     rows = tokens.select("doc_id", "part", "before", "ids").mapInArrow(run, schema)
-    ends = tokens.groupBy("part").agg(F.max(F.col("before") + F.size("ids")).alias("size"))  # one row for each part
+    ends = tokens.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("size"))  # one row for each part
     starts = ends.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("first"))
     return rows.join(starts, "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
