@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import connected_components
+from .graph import connected_components, drawn_together
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Sets of up to SMALL shingles exchange all of them; sets of up to SMALL_PARTNER may link with those.
@@ -344,7 +344,7 @@ def components(sets: DataFrame, light: int) -> DataFrame:
         found = new.count()
         links = new if links is None else links.union(new)
         if found:
-            roots = connected_components(links)
+            roots = drawn_together(links)
             rooted = common.stored(lists.join(roots, lists["doc_id"] == roots["node"], "left").select(*key, "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "rooted")
         common.release(sets.sparkSession)
         if not found:
