@@ -18,7 +18,6 @@ left out.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -91,15 +90,6 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        collecting = gc.isenabled()
-        gc.disable()  # the many new strings and tuples form no cycles, and passes over them cost a third of the time
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
         words = set(chain.from_iterable(w for w in split if w))
         new = words.difference(self.newer)
