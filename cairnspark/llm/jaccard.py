@@ -21,7 +21,9 @@ rest is a size-aware heavy-light join between class representatives:
 4. *Links.* In some rounds each set is compared with the pivot that it shares
    most lists with, of those in the largest components of its lists, which
    joins large groups of near copies without all their pairs. Then each set that is outside of the largest component of a list is
-   compared with all members of other components. A comparison is exact.
+   compared with all members of other components that it meets as often as
+   linked sets of their sizes must. Lists with equal members are one, with a
+   weight. A comparison is exact.
 
 Hashes of shingles and of sets have 64 and 128 bits.
 
@@ -329,33 +331,55 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
+def distinct_lists(postings: DataFrame) -> DataFrame:
+    """sig, doc_id, n, weight: of the lists with equal members one, and how many they are; lists of one member go."""
+    one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    named = postings.groupBy("sig").agg(F.count("*").alias("size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two")).where("size > 1")
+    kept = named.groupBy("size", "lo", "hi", "one", "two").agg(F.min("sig").alias("sig"), F.count("*").alias("weight"))
+    return postings.join(kept.select("sig", "weight"), "sig")
+
+
+def least_meetings(na, nb, light: int):
+    """In how many lists two linked sets of these sizes meet at least.
+
+    Linked sets share alpha = ceil(3 (na + nb) / 7) shingles, of which a set of
+    n lacks n - p in its first p. So the firsts of both share t = alpha + the
+    lesser p - n: t shingles, or t (t - 1) / 2 subsets, each of which is a list.
+    """
+    alpha = F.floor((3 * (na + nb) + 6) / 7)
+    t = alpha + F.least(*(F.least(F.floor(n / 4) + 2, n) - n for n in (na, nb)))
+    return F.greatest(F.lit(1), F.when((na <= light) & (nb <= light), F.floor(t * (t - 1) / 2)).otherwise(t - 1))
+
+
 def components(sets: DataFrame, light: int) -> DataFrame:
     """node and root of all sets that link with another."""
-    lists = common.stored(signatures(sets, light).withColumn("band", F.floor(F.log("n") / BAND)), "lists")
+    lists = common.stored(distinct_lists(common.stored(signatures(sets, light), "postings")).withColumn("band", F.floor(F.log("n") / BAND)), "lists")
     rooted, links, key = lists.withColumn("root", F.col("doc_id")), None, ["sig", "band"]
     for turn in range(PIVOT_ROUNDS):
         several = rooted.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key)
         members = common.stored(rooted.join(several, key), "members")
         top = members.groupBy(*key, "root").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")).alias("p"))
         top = top.groupBy(*key).agg(F.max(F.struct("size", "root", "p.doc_id")).alias("top")).select(*key, F.col("top.root").alias("top"), F.col("top.doc_id").alias("b"))
-        tried = members.join(top, key).where("root <> top").select(F.col("doc_id").alias("a"), "b")
-        best = tried.groupBy("a", "b").agg(F.count("*").alias("met")).groupBy("a").agg(F.max(F.struct("met", "b")).alias("best"))
+        tried = members.join(top, key).where("root <> top").select(F.col("doc_id").alias("a"), "b", "weight")
+        best = tried.groupBy("a", "b").agg(F.sum("weight").alias("met")).groupBy("a").agg(F.max(F.struct("met", "b")).alias("best"))
         new = common.stored(linked(best.select("a", "best.b"), sets), "links")
         found = new.count()
         links = new if links is None else links.union(new)
         if found:
             roots = drawn_together(links)
-            rooted = common.stored(lists.join(roots, lists["doc_id"] == roots["node"], "left").select(*key, "doc_id", "n", F.coalesce("root", "doc_id").alias("root")), "rooted")
+            rooted = common.stored(lists.join(roots, lists["doc_id"] == roots["node"], "left").select(*key, "doc_id", "n", "weight", F.coalesce("root", "doc_id").alias("root")), "rooted")
         common.release(sets.sparkSession)
         if not found:
             break
     open_lists = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     members = common.stored(rooted.join(open_lists, "sig"), "open")
     largest = members.groupBy("sig", "root").agg(F.count("*").alias("size")).groupBy("sig").agg(F.max(F.struct("size", "root")).alias("top")).select("sig", F.col("top.root").alias("top"))
-    outside = members.join(largest, "sig").where("root <> top").select("sig", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "top")
+    outside = members.join(largest, "sig").where("root <> top").select("sig", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "top", "weight")
     others = members.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
     pairs = outside.join(others, "sig").where((F.col("ra") != F.col("rb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & ((F.col("rb") == F.col("top")) | (F.col("a") < F.col("b"))))
-    again = linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight", least_meetings(F.col("na"), F.col("nb"), light).alias("least"))
+    met = pairs.groupBy("a", "b").agg(F.sum("weight").alias("met"), F.max("least").alias("least")).where(F.col("met") >= F.col("least"))
+    again = linked(met.select("a", "b"), sets)
     between = again.union(links)
     return connected_components(between)
 
