@@ -6,10 +6,11 @@ its shape, the words beside it and features of the file, with weights fitted by
 maximum likelihood on generated lines, and is decoded by Viterbi; the spans it
 adds are of kind ``crf``, where no base span lies.
 
-Only a token of 8 characters or more with a digit, or of 20 or more, can begin
-a secret, and only a token glued to the one before it can continue one. Every
-other token is outside, so the chain falls apart there and Viterbi runs over
-the stretches between without loss.
+Every token may begin a secret, and one glued to the token before it may
+continue one; the weights alone decide. All tokens are scored, with array
+lookups by token. A token is left out of the search only if no tags that begin
+there can gain on those outside, whatever stands around them (see
+``Scorer.__init__``), so the result is that of Viterbi over the whole text.
 
 Defined results: null and empty texts have no spans; offsets are code points,
 the end exclusive; rows are judged one by one, so repeated or null ids and
@@ -38,11 +39,15 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-TOKEN = re.compile(r"[A-Za-z0-9_+/-]+|[^\sA-Za-z0-9_+/-]")
+TOKEN = re.compile(r"[\w+/-]+|[^\s\w+/-]")
 CHUNKS = re.compile(r"\S+")
 WORD = re.compile(r"[A-Za-z]{2,}")
 OUT, BEGIN, INSIDE = 0, 1, 2
 STARTS = (0.0, 0.0, -math.inf)
+#: Words after which shapes weigh differently.
+LEADS = frozenset("password passwd pwd pass passphrase secret token apikey key auth credential credentials bearer".split())
+#: Chunks that a task keeps scores of before it starts anew.
+CACHED = 200_000
 
 
 def base_spans(text: str, may_hex: bool = True) -> list[tuple[int, int, int]]:
@@ -59,6 +64,7 @@ def base_spans(text: str, may_hex: bool = True) -> list[tuple[int, int, int]]:
 
 
 def can_begin(token: str) -> bool:
+    """Whether a token looks like a code by itself; the file's features count those."""
     return len(token) >= 20 or (len(token) >= 8 and any(c in string.digits for c in token))
 
 
@@ -67,27 +73,46 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", kinds)[:6]
 
 
-def features(tokens: list[str], glued: list[bool], k: int, file: tuple[str, ...]) -> list[str]:
-    """Names of what holds of token k."""
-    t = tokens[k]
+def own_features(t: str) -> list[str]:
+    """Names of what holds of a token by itself."""
     n, digits = len(t), sum(c.isdigit() for c in t)
     upper, lower = sum(c.isupper() for c in t), sum(c.islower() for c in t)
-    out = ["bias", f"shape={shape(t)}", f"len={min(n // 4, 12)}", f"digits={10 * digits // n}", f"mixed={digits > 0}{upper > 0}{lower > 0}", f"kinds={10 * len(set(t)) // n}", f"turns={min(9, sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(t, t[1:], strict=False)) * 10 // n)}", f"lead={t[:3] if n >= 16 else ''}", f"hex={all(c in '0123456789abcdefABCDEF-' for c in t)}", f"dashes={min(4, t.count('-'))}", f"slashes={min(3, t.count('/'))}", f"glued={glued[k]}"]
-    before = [w for w in tokens[max(0, k - 4) : k] if WORD.fullmatch(w)][-2:]
-    out += [f"before={w.lower()}" for w in before]
-    if k + 1 < len(tokens) and WORD.fullmatch(tokens[k + 1]):
+    return ["bias", f"shape={shape(t)}", f"len={min(n // 4, 12)}", f"digits={10 * digits // n}", f"mixed={digits > 0}{upper > 0}{lower > 0}", f"kinds={10 * len(set(t)) // n}", f"turns={min(9, sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(t, t[1:], strict=False)) * 10 // n)}", f"lead={t[:3] if n >= 16 else ''}", f"hex={all(c in '0123456789abcdefABCDEF-' for c in t)}", f"dashes={min(4, t.count('-'))}", f"slashes={min(3, t.count('/'))}", f"core={can_begin(t)}", f"plain={t.islower() and t.isalpha()}", f"sign={'' if any(c.isalnum() for c in t) else t[:1]}"]
+
+
+def led_features(t: str) -> list[str]:
+    """Names of what holds besides of a token after one of LEADS."""
+    return ["led", f"led:shape={shape(t)}", f"led:len={min(len(t) // 4, 12)}", f"led:plain={t.islower() and t.isalpha()}"]
+
+
+def is_word(token: str) -> bool:
+    return WORD.fullmatch(token) is not None
+
+
+def features(tokens: list[str], glued: list[bool], k: int, file: tuple[str, ...]) -> list[str]:
+    """Names of what holds of token k."""
+    before = [w.lower() for w in tokens[max(0, k - 4) : k] if is_word(w)][-2:]
+    out = own_features(tokens[k]) + (led_features(tokens[k]) if LEADS.intersection(before) else []) + [f"glued={glued[k]}"]
+    out += [f"before={w}" for w in before]
+    if k + 1 < len(tokens) and is_word(tokens[k + 1]):
         out.append(f"after={tokens[k + 1].lower()}")
     out.append(f"mark={tokens[k - 1] if k and not tokens[k - 1].isalnum() else ''}")
     return out + list(file)
 
 
 def file_features(n_chunks: int, n_core: int, text: str) -> tuple[str, ...]:
+    """Of the numbers of chunks and of those with a token that looks like a code, and of the text."""
     return (f"file:core={min(5, int(math.log2(1 + n_core)))}", f"file:dense={10 * n_core >= n_chunks}", f"file:equals={'=' in text}", f"file:key={'key' in text.lower()}")
 
 
+def file_of(text: str) -> tuple[str, ...]:
+    chunks = text.split()
+    return file_features(len(chunks), sum(any(map(can_begin, TOKEN.findall(c))) for c in chunks), text)
+
+
 def states(tokens: list[str], glued: list[bool]) -> list[tuple[int, ...]]:
     """The tags that each token may have."""
-    return [(OUT, *((BEGIN,) if can_begin(t) else ()), *((INSIDE,) if g and k else ())) for k, (t, g) in enumerate(zip(tokens, glued, strict=True))]
+    return [(OUT, BEGIN, *((INSIDE,) if g and k else ())) for k, g in enumerate(glued)]
 
 
 class Crf:
@@ -204,20 +229,69 @@ def generated_lines(n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, in
     return lines
 
 
+def harder_lines(n: int, seed: int = 8) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Invented lines with secrets of short pieces or of letters alone, and lines in which the same lead words have none."""
+    rnd = random.Random(seed)
+    word = string.ascii_letters + string.digits
+    syllables = ("th", "en", "ou", "er", "la", "de", "ti", "on", "sch", "ra", "ez", "que", "sun", "flo", "win", "ter", "field", "\u00e9t", "\u00fcb")
+    prose = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 5)))
+    ascii_prose = lambda: "".join(rnd.choice(syllables[:17]) for _ in range(rnd.randint(2, 3)))
+    piece = lambda: "".join(rnd.choice(word) for _ in range(rnd.randint(1, 5)))
+
+    def pieces() -> str:
+        out = piece()
+        while len(out) < rnd.randint(8, 16) or out.isalnum():
+            out += rnd.choice("!@#$%^&*?~-_") + piece()
+        return out
+
+    def letters() -> str:
+        out = ""
+        while len(out) < 8:
+            out += rnd.choice((lambda: rnd.choice(string.ascii_uppercase) + "".join(rnd.choice(string.ascii_lowercase) for _ in range(2)), lambda: ascii_prose().title(), lambda: "".join(rnd.choice(string.ascii_letters) for _ in range(4))))()
+        return out[:19]
+
+    def filler(k: int) -> str:
+        out = []
+        for _ in range(k):
+            w = prose()
+            out.append((w.title() if rnd.random() < 0.2 else w) + rnd.choice(("",) * 8 + (",", ".", ";", "!", ")")))
+        return " ".join(out)
+
+    plain = (
+        prose, lambda: prose() + ".", lambda: prose() + "." + prose(), lambda: prose() + "()", lambda: prose() + "_" + prose(), lambda: prose() + "'s " + prose(), lambda: rnd.choice(("true", "None", "false", "null", "required", "value")),
+        lambda: str(rnd.randint(0, 9999)), lambda: prose().title() + " " + prose().title(), lambda: prose() + "-" + prose(), lambda: '"' + prose() + '"', lambda: prose() + "/" + prose() + "?", lambda: "<" + prose() + ">",
+    )
+    lines = []
+    for _ in range(n):
+        text, spans = filler(rnd.choice((0, 2, 5, 30))), []
+        for _ in range(rnd.randint(1, 2)):
+            lead = rnd.choice(sorted(LEADS))
+            if rnd.random() < 0.55:
+                text += f" {lead}{rnd.choice((': ', '=', ' = ', ':', ' ')) if lead != 'bearer' else ' '}{rnd.choice(('', '', chr(34)))}"
+                value = rnd.choice((pieces, letters))()
+                spans.append((len(text), len(text) + len(value)))
+                text += value + (rnd.choice((chr(34), chr(34) + ",")) if text.endswith(chr(34)) else "")
+            elif rnd.random() < 0.6:
+                text += f" {lead}{rnd.choice((' ', ' ', ': ', ' = ', '='))}{rnd.choice(plain)()}"
+            else:
+                text += f" {prose()}{rnd.choice((' ', ': ', ' = ', '='))}{rnd.choice((*plain, lambda: prose().title() + prose().title(), lambda: prose() + '@' + prose() + '.org'))()}"
+            text += " " + filler(rnd.choice((0, 1, 4)))
+        lines.append((text, spans))
+    return lines
+
+
 @lru_cache(maxsize=1)
 def trained(lines: int = 1500, rounds: int = 4) -> Crf:
     crf = Crf({}, [[0.0, 0.0, -math.inf], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
     samples = []
-    for text, spans in generated_lines(lines):
+    for text, spans in generated_lines(lines) + harder_lines(lines):
         tokens, glued, spots = split_tokens(text)
-        may, gold = states(tokens, glued), [OUT] * len(tokens)
+        may, gold, file = states(tokens, glued), [OUT] * len(tokens), file_of(text)
         for a, b in spans:
             inside = [k for k, (i, j) in enumerate(spots) if a <= i and j <= b]
-            if inside and BEGIN in may[inside[0]]:
-                for k in inside:
-                    gold[k] = INSIDE if k > inside[0] else BEGIN
-        core = sum(map(can_begin, tokens))
-        samples.append(([features(tokens, glued, k, file_features(len(tokens), core, text)) for k in range(len(tokens))], may, gold))
+            for k in inside:
+                gold[k] = INSIDE if k > inside[0] else BEGIN
+        samples.append(([features(tokens, glued, k, file) for k in range(len(tokens))], may, gold))
     rnd = random.Random(11)
     for k in range(rounds):
         rnd.shuffle(samples)
@@ -226,39 +300,140 @@ def trained(lines: int = 1500, rounds: int = 4) -> Crf:
     return crf
 
 
-def crf_spans(text: str, crf: Crf) -> list[tuple[int, int, int]]:
+class Scorer(dict):
+    """Scores all tokens of texts by tables of the chunks seen so far: their numbers by chunk."""
+
+    def __init__(self, crf: Crf):
+        super().__init__()
+        self.crf, m = crf, crf.moves
+        #: Putting OUT for the tags of one secret, with r before, s after and x its last tag, changes the moves by
+        #: no more than these, one for its BEGIN and one for each INSIDE; a path that gains by it is not the best.
+        self.begin = max(0.0, *(m[r][BEGIN] - m[r][OUT] for r in range(3))) + max(0.0, *(m[x][s] - m[OUT][s] for x in (BEGIN, INSIDE) for s in (OUT, BEGIN)))
+        self.inside = max(m[x][INSIDE] for x in (BEGIN, INSIDE)) - m[OUT][OUT]
+        self.lead_of = {f: (b - o, i - o) for f, (o, b, i) in crf.weights.items()}
+        self.glued, self.loose = self._gain(["glued=True"]), self._gain(["glued=False"])
+        self.no_mark = np.array(self._gain(["mark="]))
+        self.words: dict[str, int] = {}
+        self.shapes: dict[tuple, list[float]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.clear()
+        self.words.clear()
+        self.table, self.flags = np.zeros((1024, 10)), np.zeros((1024, 2), bool)
+        self.first, self.count, self.core, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool), np.zeros(1024, np.int64), 0
+
+    def _gain(self, names: list[str]) -> list[float]:
+        """What BEGIN and INSIDE have over OUT."""
+        get, begin, inside = self.lead_of.get, 0.0, 0.0
+        for name in names:
+            if w := get(name):
+                begin, inside = begin + w[0], inside + w[1]
+        return [begin, inside]
+
+    def _own(self, t: str) -> list[float]:
+        n = len(t)
+        if n < 16 and t.isalpha() and (t.islower() or (t[0].isupper() and t[1:].islower())):  # these features tell only so much of a plain word
+            name = (n, len(set(t)), t.islower(), not t.strip("abcdefABCDEF"))
+            if name not in self.shapes:
+                own = own_features(t)
+                self.shapes[name] = self._gain(own) + self._gain(own + led_features(t))
+            return self.shapes[name]
+        own = own_features(t)
+        return self._gain(own) + self._gain(own + led_features(t))
+
+    def _word(self, t: str) -> int:
+        k = self.words.get(t)
+        if k is None:
+            k = self.words[t] = len(self.words)
+            if k == len(self.table):
+                self.table, self.flags = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.flags, np.zeros_like(self.flags)])
+            get, none, low = self.lead_of.get, (0.0, 0.0), t.lower()
+            word = is_word(t)
+            before, after = (get(f"before={low}", none), get(f"after={low}", none)) if word else (none, none)
+            self.table[k] = (*self._own(t), *before, *after, *get("mark=" if t.isalnum() else f"mark={t}", none))
+            if word:
+                self.flags[k] = True, low in LEADS
+        return k
+
+    def __missing__(self, chunk: str) -> int:
+        tokens, k = TOKEN.findall(chunk), len(self)
+        if k == len(self.first):
+            self.first, self.count, self.core = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.core))
+        while self.used + len(tokens) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.first[k], self.count[k], self.core[k] = self.used, len(tokens), len(chunk) >= 8 and any(map(can_begin, tokens))
+        for j, t in enumerate(tokens, self.used):
+            self.flat[j] = self._word(t)
+        self.used += len(tokens)
+        self[chunk] = k
+        return k
+
+    def gains(self, text: str):
+        """By token what BEGIN and INSIDE have over OUT and whether it is glued to the one before; the first token of each chunk."""
+        if len(self) > CACHED:
+            self._clear()
+        chunks = text.split()
+        ids = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        n = self.count[ids]
+        starts = np.cumsum(n) - n
+        tokens = self.flat[np.repeat(self.first[ids] - starts, n) + np.arange(int(n.sum()))]
+        glued = np.ones(len(tokens), bool)
+        glued[starts] = False
+        x, (word, lead) = self.table[tokens], self.flags[tokens].T
+        out = np.where(glued[:, None], self.glued, self.loose) + self._gain(list(file_features(len(chunks), int(self.core[ids].sum()), text)))
+        seen, led = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        for back in range(1, min(5, len(tokens))):
+            use = word[:-back] & (seen[back:] < 2)
+            out[back:] += x[:-back, 4:6] * use[:, None]
+            led[back:] |= use & lead[:-back]
+            seen[back:] += use
+        out += np.where(led[:, None], x[:, 2:4], x[:, 0:2])
+        out[:-1] += x[1:, 6:8]
+        out[1:] += x[:-1, 8:10]
+        out[0] += self.no_mark
+        return out, glued, starts
+
+
+def crf_spans(text: str, crf: Crf | Scorer) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the secrets that the field tags."""
-    chunks = [m.span() for m in CHUNKS.finditer(text)]
-    core = [k for k, (a, b) in enumerate(chunks) if b - a >= 8 and any(map(can_begin, TOKEN.findall(text[a:b])))]
-    if not core:
+    scorer = crf if isinstance(crf, Scorer) else Scorer(crf)
+    if not text or text.isspace():
+        return []
+    gain, glued, starts = scorer.gains(text)
+    more = np.cumsum(np.where(glued, np.maximum(0.0, gain[:, 1] + scorer.inside), 0.0))
+    ends = np.append(starts[1:], len(gain))
+    rest = np.repeat(more[ends - 1], ends - starts) - more  # at most what the chunk's later tokens add
+    may_begin = gain[:, 0] + scorer.begin + rest >= -1e-6
+    live = np.flatnonzero(np.logical_or.reduceat(may_begin, starts))
+    if not len(live):
         return []
-    file, found, k = file_features(len(chunks), len(core), text), [], 0
-    while k < len(core):
-        last = k
-        while last + 1 < len(core) and core[last + 1] - core[last] <= 2:
-            last += 1
-        lo, hi = chunks[max(0, core[k] - 4)][0], chunks[min(len(chunks) - 1, core[last] + 1)][1]
-        tokens, glued, spots = split_tokens(text[lo:hi])
-        may = states(tokens, glued)
-        emit = [crf.emissions([features(tokens, glued, i, file)])[0] if len(m) > 1 else [0.0, 0.0, 0.0] for i, m in enumerate(may)]
-        tags = crf.viterbi(emit, may)
+    spots, found = [m.span() for m in CHUNKS.finditer(text)], []
+    for run in np.split(live, np.flatnonzero(np.diff(live) > 1) + 1):
+        a, b = int(starts[run[0]]), int(ends[run[-1]])
+        emit = [[0.0, x, y] for x, y in gain[a:b].tolist()]
+        may = [(OUT, *((BEGIN,) if p else ()), *((INSIDE,) if g else ())) for p, g in zip(may_begin[a:b].tolist(), glued[a:b].tolist(), strict=True)]
+        before, after = int(a > 0), int(b < len(gain))  # neighbours that are surely outside
+        tags = scorer.crf.viterbi([[0.0] * 3] * before + emit + [[0.0] * 3] * after, [(OUT,)] * before + may + [(OUT,)] * after)[before:]
+        if not any(tags):
+            continue
+        where = [(spots[c][0] + m.start(), spots[c][0] + m.end()) for c in run for m in TOKEN.finditer(text[slice(*spots[c])])]
         i = 0
-        while i < len(tags):
+        while i < b - a:
             if tags[i] == BEGIN:
                 j = i
-                while j + 1 < len(tags) and tags[j + 1] == INSIDE:
+                while j + 1 < b - a and tags[j + 1] == INSIDE:
                     j += 1
-                found.append((lo + spots[i][0], 3, lo + spots[j][1]))
+                found.append((where[i][0], 3, where[j][1]))
                 i = j
             i += 1
-        k = last + 1
     return sorted(set(found))
 
 
-def all_spans(text: str, crf: Crf, may_hex: bool, may_crf: bool) -> tuple[list, list]:
+def all_spans(text: str, crf: Scorer, may_hex: bool) -> tuple[list, list]:
     """Base spans, and all spans: those of the field are added where no base span lies."""
     base = base_spans(text, may_hex)
-    more = crf_spans(text, crf) if may_crf else []
+    more = crf_spans(text, crf)
     if base and more:
         more = [s for s in more if not any(s[0] < e and b < s[2] for b, _, e in base)]
     return base, sorted(base + more)
@@ -270,14 +445,10 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[[*range(9, 14), *range(28, 33)]] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(b"0123456789")] = True
 
 
-def _flags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """By row, whether it may hold a long hexadecimal run, and whether it may hold a token that begins a secret."""
+def _flags(texts: pa.Array) -> np.ndarray:
+    """By row, whether it may hold a long hexadecimal run."""
     data, offsets = common.texts_of(texts)
     n = len(offsets) - 1
 
@@ -291,9 +462,8 @@ def _flags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.cumsum(touched[:n]) > 0
 
     if not len(data):
-        return np.zeros(n, bool), np.zeros(n, bool)
-    digits = np.searchsorted(np.flatnonzero(_DIGIT[data]), offsets)
-    return has_run(~_HEX[data], LEAST_HEX), (digits[1:] > digits[:-1]) | has_run(_SPACE[data], 20)
+        return np.zeros(n, bool)
+    return has_run(~_HEX[data], LEAST_HEX)
 
 
 def scan(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
@@ -303,12 +473,12 @@ def scan(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(crf)
 
     def run(batches):
-        model = shared.value
+        model = Scorer(shared.value)
         for b in batches:
-            may_hex, may_crf = _flags(b.column(1))
+            may_hex = _flags(b.column(1))
             counts, hashes, spans = [[], [], []], [], []
-            for t, h, c in zip(b.column(1).to_pylist(), may_hex, may_crf, strict=True):
-                base, every = all_spans(t, model, h, c) if t else ([], [])
+            for t, h in zip(b.column(1).to_pylist(), may_hex, strict=True):
+                base, every = all_spans(t, model, h) if t else ([], [])
                 for k in range(3):
                     counts[k].append(sum(s[1] == k for s in base))
                 hashes.append(hashlib.sha256(spelled(base).encode()).hexdigest())
@@ -325,19 +495,19 @@ def redact(docs: DataFrame, crf: Crf, text: str = "text", filler: str = "[secret
     common.tune(spark)
     shared = spark.sparkContext.broadcast(crf)
 
-    def clean(t: str, h: bool, c: bool) -> str:
+    def clean(t: str, h: bool, model: Scorer) -> str:
         out, last = [], 0
-        for a, _, b in all_spans(t, shared.value, h, c)[1]:
+        for a, _, b in all_spans(t, model, h)[1]:
             if a >= last:
                 out += [t[last:a], filler]
             last = max(last, b)
         return "".join([*out, t[last:]]) if out else t
 
     def run(batches):
+        model = Scorer(shared.value)
         for b in batches:
             at = b.schema.get_field_index(text)
-            may_hex, may_crf = _flags(b.column(at))
-            new = pa.array([clean(t, h, c) if t else t for t, h, c in zip(b.column(at).to_pylist(), may_hex, may_crf, strict=True)], pa.string())
+            new = pa.array([clean(t, h, model) if t else t for t, h in zip(b.column(at).to_pylist(), _flags(b.column(at)), strict=True)], pa.string())
             yield b.set_column(at, b.schema.field(at), new.cast(b.column(at).type))
 
     return docs.mapInArrow(run, docs.schema)

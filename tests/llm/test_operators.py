@@ -163,6 +163,34 @@ def test_secrets(spark, docs, empty):
     assert secret_crf.scan(empty, crf).count() == 0
 
 
+def test_secrets_of_short_pieces_and_of_letters():
+    crf = secret_crf.trained()
+    for text, secret in (("pwd: S3cr!t-P@s9", "S3cr!t-P@s9"), ("bearer AbcDefGhiJklMno", "AbcDefGhiJklMno"), ("pass = SunflowerField", "SunflowerField")):
+        assert [text[a:z] for a, _, z in secret_crf.crf_spans(text, crf)] == [secret]
+    assert not any(secret_crf.crf_spans(t, crf) for t in ("the secret garden of Eden", "token = parser.next()", "pass the salt, please", ""))
+    for lines, least in ((secret_crf.generated_lines(300, 98), 0.98), (secret_crf.harder_lines(300, 97), 0.93)):
+        gold = {(k, *s) for k, (_, spans) in enumerate(lines) for s in spans}
+        got = {(k, a, z) for k, (line, _) in enumerate(lines) for a, _, z in secret_crf.crf_spans(line, crf)}
+        assert len(gold & got) >= least * len(gold) and len(got - gold) <= 0.02 * len(got)
+
+
+def test_secret_spans_are_those_of_viterbi_over_the_whole_text():
+    crf, rnd = secret_crf.trained(), random.Random(5)
+    scorer = secret_crf.Scorer(crf)
+    lines = [t for t, _ in secret_crf.generated_lines(150, 5) + secret_crf.harder_lines(150, 6)] + ["".join(rnd.choice("aB9 -_/+=:\"!\u00e9\u2003") for _ in range(rnd.randrange(60))) for _ in range(150)]
+    for t in [*lines, " ".join(lines[:40])]:
+        tokens, glued, spots = secret_crf.split_tokens(t)
+        want, file = [], secret_crf.file_of(t)
+        if tokens:
+            tags = crf.viterbi(crf.emissions([secret_crf.features(tokens, glued, k, file) for k in range(len(tokens))]), secret_crf.states(tokens, glued))
+            for k, s in enumerate(tags):
+                if s == secret_crf.BEGIN:
+                    want.append((spots[k][0], 3, spots[k][1]))
+                elif s == secret_crf.INSIDE:
+                    want[-1] = (want[-1][0], 3, spots[k][1])
+        assert secret_crf.crf_spans(t, scorer) == want
+
+
 def test_viterbi_is_the_best_of_all_tag_rows():
     from itertools import product
 
