@@ -30,7 +30,8 @@ Hashes of shingles and of sets have 64 and 128 bits.
 Defined results: a null text or one without words has the empty set and links
 with nothing; a text of fewer words than a shingle has one element; rows with
 a null doc_id are in the result but link with nothing (component_id null);
-rows with equal doc_ids are one node; other columns are left out.
+rows with equal doc_ids are one node, which links with all that one of its
+texts links with; other columns are left out.
 """
 
 from __future__ import annotations
@@ -139,6 +140,28 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, checked long, one long, two long")
 
 
+def with_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the size and the two sums that name the text's set."""
+    common.tune(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            sets = list(shingle_sets(b.column(1)))
+            one = [int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
+            two = [int(mix(s + np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], one, two))], names=["doc_id", "text", "n", "one", "two"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n long, one long, two long")
+
+
+def numbered(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """node, doc_id, text: one row for each doc_id and set, with a number of its own; the texts of repeated doc_ids alone are shuffled."""
+    named = docs.where(F.col("doc_id").isNotNull())
+    once = _restricted(named, repeated, "left_anti").select("doc_id", "text")
+    more = with_sets(_restricted(named, repeated, "left_semi")).dropDuplicates(["doc_id", "n", "one", "two"]).select("doc_id", "text")
+    return common.stored(once.unionByName(more).withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
 def _restricted(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """docs with (left_semi) or without (left_anti) the stored ids."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
@@ -384,10 +407,8 @@ def components(sets: DataFrame, light: int) -> DataFrame:
     return connected_components(between)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = common.stored(profiles(docs), "profiles")
+def _connected(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """a and b of edges that join what near_duplicates() joins; docs and profile have a row for each doc_id."""
     sets = profile.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = sets.groupBy("one", "two", "n").agg(F.min("doc_id").alias("root"), F.count("*").alias("size")).where("size > 1")
     copies = common.stored(sets.join(classes, ["one", "two", "n"]).where(F.col("doc_id") > F.col("root")).select("doc_id", F.col("root").alias("same")).distinct(), "copies")
@@ -397,7 +418,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alive = common.stored(alive, "alive")
     chosen = kept.join(F.broadcast(alive) if alive.count() <= BROADCAST_IDS else alive, "doc_id")
     ordered = common.stored(rarity_ordered(chosen), "sets")
-    roots = connected_components(components(ordered, boundary(ordered)).select(F.col("node").alias("a"), F.col("root").alias("b")).union(copies.select(F.col("doc_id").alias("a"), F.col("same").alias("b"))))
+    return components(ordered, boundary(ordered)).select(F.col("node").alias("a"), F.col("root").alias("b")).union(copies.select(F.col("doc_id").alias("a"), F.col("same").alias("b")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    profile = common.stored(profiles(docs), "profiles")
+    repeated = common.stored(profile.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        edges = _connected(docs, profile)
+    else:
+        nodes = numbered(docs, repeated)
+        own = nodes.select(F.col("node").alias("doc_id"), "text")
+        by_node = _connected(own, common.stored(profiles(own), "profiles"))
+        for end in ("a", "b"):
+            name = nodes.select(F.col("node").alias(end), F.col("doc_id").alias(f"doc_{end}"))
+            by_node = by_node.join(name, end)
+        edges = by_node.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).where("a <> b").distinct()
+    roots = connected_components(edges)
     return profile.select("doc_id", F.col("n").alias("n_shingles")).join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 

@@ -95,6 +95,21 @@ def test_jaccard_light_and_heavy_agree_with_brute_force(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_of_repeated_rows(spark):
+    rnd = random.Random(8)
+    words = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    passage = words(9)
+    quoting, quoted = f"{passage} {words(95)}", f"{passage} {words(95)}"
+    first, second = words(60), words(60)
+    rows = [(1, quoting)] * 2 + [(2, quoted)] * 2 + [(3, first), (5, f"{first} more"), (5, second), (5, second), (7, f"{second} end"), (8, words(60)), (9, first), (9, f"{quoted} x"), (9, f"{quoted} x")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: c for (d, _), c in got.items()} == {1: 1, 2: 2, 3: 2, 5: 2, 7: 2, 8: 8, 9: 2}
+    both = 5  # shingles of the passage: a doubled set must not count them twice
+    pair = spark.createDataFrame([(1, quoting)] * 2 + [(2, quoted)] * 2, "doc_id long, text string")
+    assert both == len(np.intersect1d(*(next(jaccard.shingle_sets(jaccard.pa.array([t]))) for t in (quoting, quoted))))
+    assert jaccard.numbered(pair, spark.createDataFrame([(1,), (2,)], "doc_id long")).count() == 2
+
+
 def test_suffix_dedup(spark, docs, empty, tmp_path):
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     shared = named.selectExpr("doc_id + 200 as doc_id", "concat('q ', text, ' and the same again ', text) as text")
