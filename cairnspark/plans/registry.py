@@ -429,8 +429,7 @@ def throttle_emit(s, d):
 # files
 
 
-@query("SELECT name, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon FROM wp WHERE ord <= 200")
-def gpx_roundtrip(s, d):
+def _roundtrip(s, p):
     base = s.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
@@ -439,14 +438,33 @@ def gpx_roundtrip(s, d):
     import uuid
 
     path = f"{base.rstrip('/')}/gpx-{uuid.uuid4().hex}"
-    gpx.write_gpx(points(s, d).where("ord <= 200"), path)
+    gpx.write_gpx(p, path)
     return gpx.read_gpx(s, path, glob="*.xml").select("name", S.fixed(F.col("lat"), 6).alias("lat"), S.fixed(F.col("lon"), 6).alias("lon"))
 
 
+def _text(p):
+    p = p.withColumns({"name": F.concat("name", F.lit("&<")), "time": F.lit(""), "desc": F.lit(None).cast("string")})
+    return gpx.waypoint_xml(p).select("ord", "xml")
+
+
+@query("SELECT name, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon FROM wp WHERE ord <= 200")
+def gpx_roundtrip(s, d):
+    return _roundtrip(s, points(s, d).where("ord <= 200"))
+
+
+@query("SELECT name, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon FROM wp ")
+def gpx_roundtrip_all(s, d):
+    return _roundtrip(s, points(s, d))
+
+
 @query("SELECT ord, '<wpt lat=\"' || printf('%.6f', lat) || '\" lon=\"' || printf('%.6f', lon) || '\"><name>' || name || '&amp;&lt;</name></wpt>' AS xml FROM wp WHERE ord <= 200")
 def gpx_text(s, d):
-    p = points(s, d).where("ord <= 200").withColumns({"name": F.concat("name", F.lit("&<")), "time": F.lit(""), "desc": F.lit(None).cast("string")})
-    return gpx.waypoint_xml(p).select("ord", "xml")
+    return _text(points(s, d).where("ord <= 200"))
+
+
+@query("SELECT ord, '<wpt lat=\"' || printf('%.6f', lat) || '\" lon=\"' || printf('%.6f', lon) || '\"><name>' || name || '&amp;&lt;</name></wpt>' AS xml FROM wp ")
+def gpx_text_all(s, d):
+    return _text(points(s, d))
 
 
 # scalars

@@ -47,3 +47,8 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count()
+
+
+def test_gpx_of_all_points(spark):
+    n = QUERIES["merge_dedupe"](spark, SF).count()
+    assert QUERIES["gpx_roundtrip_all"](spark, SF).count() == QUERIES["gpx_text_all"](spark, SF).count() == n > 201
