@@ -30,9 +30,8 @@ from pyspark.sql import types as T
 from . import common
 
 ORDER = 3
-#: The classifier is fitted on a bounded sample: whole texts of so many labelled rows for each of so many languages.
+#: The classifier is fitted on a bounded sample: whole texts of so many labelled rows for each language.
 SAMPLE_PER_LANG = 400
-MAX_LANGS = 64
 SLICE = 1 << 20
 LETTER = regex.compile(r"\p{L}")
 
@@ -41,16 +40,15 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, bytes]]:
+def training_rows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, bytes]]:
     """(lang, text) of the rows with the smallest hashes of doc_id in each language, held-out rows apart."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
-        return []
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    picked = rows.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
     ids = sorted({r[0] for r in picked.select("doc_id").collect()})
-    sample = rows.where(F.col("doc_id").isin(ids) & F.col("lang").isin(langs)).select("lang", "text")
+    if not ids:
+        return []
+    sample = rows.where(F.col("doc_id").isin(ids)).select("lang", "text")
     return sorted((r[0], r[1].encode()) for r in sample.collect())
 
 

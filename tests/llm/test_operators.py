@@ -29,6 +29,11 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty.select("doc_id", "text"), langid.fit(empty)).count() == 0
 
 
+def test_every_language_with_a_training_row_is_fitted(spark):
+    rows = [(k, f"text of language {k % 80}", f"l{k % 80:02}") for k in range(800)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == [f"l{k:02}" for k in range(80)]
+
+
 def test_ppm_code_lengths_equal_a_plain_coder():
     rows = [("a", b"abracadabra abra"), ("b", b"banana bandana"), ("b", b"nab")]
     model = langid.PpmModel.fit(rows)
