@@ -292,3 +292,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents with their ids; the last stage, so it adds a column."""
     return encode(docs, default_model(), ids=common.free_name(docs, "ids"))
+
+
+def round_trip_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents with their ids and the text that these decode to."""
+    return encode(docs, default_model(), ids=common.free_name(docs, "ids"), decoded=common.free_name(docs, "decoded"))

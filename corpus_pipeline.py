@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairnspark.llm import common, decontamination, jaccard, langid, secret_crf, sentencepieces
 
-#: Documents in no language go; one of each group of near copies stays; documents with benchmark windows go; secrets are replaced; ids are added.
+#: Documents in no language go; one of each group of near copies stays; documents with benchmark windows go; secrets are replaced; ids and the texts that they decode to are added.
 STAGES = [
     ("language ID", langid.stage),
     ("n-gram Jaccard join", jaccard.stage),
     ("benchmark decontamination", decontamination.stage),
     ("secret scans", secret_crf.stage),
-    ("SentencePiece encoding", sentencepieces.stage),
+    ("SentencePiece encoding and decoding", sentencepieces.round_trip_stage),
 ]
 
 #: Language models and the conditional random field are not expressible in SQL.

@@ -146,6 +146,15 @@ def test_sentencepiece_equals_the_library(spark, docs, empty):
     assert sentencepieces.digests(empty, path).count() == 0
 
 
+def test_pipeline_ends_with_decoding(spark, docs):
+    import corpus_pipeline
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert out.columns == [*docs.columns, "ids", "decoded"]
+    assert all(r.decoded == lib.decode(lib.encode(r.text or "")) for r in out.collect())
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, docs.where("doc_id = 5").first().text[20:140]), (2, "ONE two"), (3, None), (4, "..."), (5, "unseen words only")], "item_id long, text string")
     f = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
