@@ -319,8 +319,16 @@ def geocode_classify(s, d):
 NEW = "(SELECT ord, CASE WHEN ord % 2 = 0 THEN name ELSE name || '+' END AS name, lat + 4e-7 AS lat, lon, ele, false AS bookmark FROM wp WHERE ord <= 40)"
 
 
+#: As NEW, with every point in it.
+NEW_ALL = NEW.replace(" WHERE ord <= 40", "")
+
+
 def _new(p):
-    return p.where("ord <= 40").select("ord", F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("+"))).alias("name"), (F.col("lat") + 4e-7).alias("lat"), "lon", "ele", F.lit(False).alias("bookmark"))
+    return _moved(p.where("ord <= 40"))
+
+
+def _moved(p):
+    return p.select("ord", F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("+"))).alias("name"), (F.col("lat") + 4e-7).alias("lat"), "lon", "ele", F.lit(False).alias("bookmark"))
 
 
 @query(f"SELECT * FROM wp UNION ALL SELECT n.* FROM {NEW} n WHERE NOT EXISTS (SELECT 1 FROM wp w WHERE w.name = n.name AND abs(w.lat - n.lat) < 1e-6 AND abs(w.lon - n.lon) < 1e-6)")
@@ -354,6 +362,30 @@ def bookmark_delete_first(s, d):
     return K.first_deleted(p, p.where("ord <= 100").select("name", "lat", "lon"), I.LIST_TOLERANCE)
 
 
+@query(f"SELECT * FROM wp UNION ALL SELECT n.* FROM {NEW_ALL} n WHERE NOT EXISTS (SELECT 1 FROM wp w WHERE w.name = n.name AND abs(w.lat - n.lat) < 1e-6 AND abs(w.lon - n.lon) < 1e-6)")
+def bookmark_append_all(s, d):
+    p = points(s, d)
+    return K.appended(p, _moved(p))
+
+
+@query(f"SELECT n.ord FROM {NEW_ALL} n WHERE EXISTS (SELECT 1 FROM wp w WHERE w.name = n.name AND abs(w.lat - n.lat) < 1e-6 AND abs(w.lon - n.lon) < 1e-6)")
+def bookmark_duplicates_all(s, d):
+    p = points(s, d)
+    return K.duplicates(p, _moved(p)).select("ord")
+
+
+@query(f"SELECT w.* FROM wp w WHERE NOT EXISTS (SELECT 1 FROM {NEW_ALL} n WHERE w.name = n.name AND abs(w.lat - n.lat) < 1e-6 AND abs(w.lon - n.lon) < 1e-6)")
+def bookmark_delete_all(s, d):
+    p = points(s, d)
+    return K.deleted(p, _moved(p))
+
+
+@query("SELECT w.* FROM wp w WHERE NOT bookmark")
+def bookmark_delete_first_all(s, d):
+    p = points(s, d)
+    return K.first_deleted(p, p.select("name", "lat", "lon"), I.LIST_TOLERANCE)
+
+
 @query("""SELECT state, count(*) AS files FROM (SELECT CASE WHEN k % 5 = 0 OR row_number() OVER (PARTITION BY k // 2 ORDER BY dir) > 1 THEN 'skipped' ELSE 'copied' END AS state FROM
     (SELECT n_nationkey AS k0, (n_nationkey // 2) * 2 AS k, CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE 'a-b' END AS dir FROM nation)) GROUP BY state""")
 def import_summary(s, d):

@@ -52,3 +52,8 @@ def test_entry(spark):
 def test_gpx_of_all_points(spark):
     n = QUERIES["merge_dedupe"](spark, SF).count()
     assert QUERIES["gpx_roundtrip_all"](spark, SF).count() == QUERIES["gpx_text_all"](spark, SF).count() == n > 201
+
+
+def test_changes_reach_waypoints_of_events(spark):
+    gone = QUERIES["merge_dedupe"](spark, SF).join(QUERIES["bookmark_delete_all"](spark, SF), "ord", "left_anti")
+    assert gone.where("ord > 1000000").count() and QUERIES["bookmark_duplicates_all"](spark, SF).where("ord > 1000000").count()
