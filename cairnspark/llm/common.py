@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -57,12 +59,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that are no longer held, once their results are stored."""
     for _ in range(2):  # the second pass frees what the first one's finalizers let go
@@ -71,6 +67,48 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def trimmed(run):
+    """run, which gives its worker's free memory back to the system when a task ends."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+def keyed_batches(batches, key: tuple[str, ...] = (), least: int = 0):
+    """Tables of whole groups of rows that are sorted by key: one group each, or several until there are least rows.
+
+    Without a key, the first column is it and each group is a table.
+    """
+    held, rows, last = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = key or (b.schema.names[0],)
+        columns = [b.column(k).to_numpy() for k in names]
+        here = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist(), b.num_rows]
+        if last is not None and any(c[0] != v for c, v in zip(columns, last, strict=True)) and (rows >= least):
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+        begin = 0
+        for at in here[1:-1]:
+            if rows + at - begin >= least:
+                yield pa.Table.from_batches([*held, b.slice(begin, at - begin)])
+                held, rows, begin = [], 0, at
+        held.append(b.slice(begin))
+        rows += b.num_rows - begin
+        last = [c[-1] for c in columns]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,11 +33,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def drawn_together(edges: DataFrame) -> DataFrame:
-    """node and root as above after one turn alone: nodes of one root are linked, linked nodes may still have two roots."""
-    now = _star(_star(_edges(edges), True), False)
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-
-
 def _edges(edges: DataFrame) -> DataFrame:
     return common.stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
