@@ -7,7 +7,6 @@ import contextlib
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -59,14 +58,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer held, once their results are stored."""
-    for _ in range(2):  # the second pass frees what the first one's finalizers let go
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def trimmed(run):
     """run, which gives its worker's free memory back to the system when a task ends."""
 

@@ -15,7 +15,9 @@ document with a smaller doc_id. Strings are found exactly, in these steps:
 4. A task sorts the suffixes of its stretches by bucket-pointer refinement:
    first by q-grams of 8 bytes, then by the bucket of the suffix 8, 16 and 18
    bytes on, each pass reusing the buckets of the pass before, up to LENGTH
-   bytes. In each bucket all but the smallest doc_id lose the string.
+   bytes. In each bucket all but the smallest doc_id lose the string. Where a
+   key has more stretches than a task should hold, their strings are dealt
+   out once more by all their bytes.
 5. The spans of each document are merged and cut out.
 
 Defined results: null and empty texts have no bytes; rows with a null doc_id
@@ -34,17 +36,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .jaccard import _powers, _restricted, mix
+from .jaccard import _batch, _gathered, _powers, _restricted, _split, mix
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1
 LEFT, RIGHT = 8, 22
-#: Bytes of text that are hashed at once (below 1 << 24), and anchors or stretches that a task gathers before it packs them.
-SLICE, CHUNK = 1 << 19, 400_000
-#: Spans of up to so many documents (about 50 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_DOCS = 400_000
+#: Bytes of text that are hashed at once (below 1 << 24), anchors that a task gathers before it packs them (four times its stretches), and bytes that are sorted at once.
+SLICE, CHUNK, SORTED = 1 << 19, 400_000, 1 << 20
+#: Bytes of text (for anchors) or of stretches that a bucket has on average.
+BUCKET = 24 << 20
+#: Tables of up to so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 _RANDOM = np.random.default_rng(1729).integers(0, 2**64, 256, dtype=np.uint64)
-_I64, _I32, _U64 = np.int64, np.int32, np.uint64
+_I64, _I32, _U64, _U32 = np.int64, np.int32, np.uint64, np.uint32
 
 
 class Stretch:
@@ -117,21 +121,8 @@ def _blob(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-def _by_owner(owners: np.ndarray, *columns: np.ndarray, rows: int = 2000):
-    """Batches of (doc_id, a binary column for each of columns) with one row for each owner."""
-    order = np.argsort(owners, kind="stable")
-    owners, columns = owners[order], [c[order] for c in columns]
-    ids, starts = np.unique(owners, return_index=True)
-    cuts = np.append(starts, len(owners))
-    for k in range(0, len(ids), rows):
-        some = range(k, min(k + rows, len(ids)))
-        yield [pa.array(ids[k : k + rows]), *(pa.array([_blob(c[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()) for c in columns)]
-
-
-def _buckets(buckets: np.ndarray, n: int):
-    order = np.argsort(buckets, kind="stable")
-    cuts = np.searchsorted(buckets[order], np.arange(n + 1))
-    return [(k, order[cuts[k] : cuts[k + 1]]) for k in range(n) if cuts[k + 1] > cuts[k]]
+def _own_bucket(owners: np.ndarray, n: int) -> np.ndarray:
+    return (mix(owners.astype(_U64)) % _U64(n)).astype(_I64)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,69 +136,74 @@ def _several_owners(starts: np.ndarray, run: np.ndarray, owners: np.ndarray) ->
     return np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts) if len(starts) else np.zeros(0, bool)
 
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
-    """doc_id and packed positions of the anchors that other documents have too."""
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """31 bits of a hash; that two have the same ones by chance costs a comparison and changes no result."""
+    return (hashes & _U64(0xFFFFFFFE)).astype(_U32)
+
+
+def shared_anchors(docs: DataFrame, n_bytes: int) -> DataFrame:
+    """doc_id and packed short hashes of the anchors that other documents have too. n_bytes: of all texts, about."""
     common.tune(docs.sparkSession)
-    n_buckets = common.shuffle_parts(docs.sparkSession)
-    names = ["bucket", "owners", "counts", "positions", "hashes", "local"]
+    n_buckets = max(common.shuffle_parts(docs.sparkSession), -(-n_bytes // BUCKET))
+    names, one = ["bucket", "owners", "hashes"], _U32(1)
+
+    def told(owners, hashes):
+        return [(-1 - k, _blob(owners[at]), _blob(hashes[at])) for k, at in _split(_own_bucket(owners, n_buckets), n_buckets)]
 
     def pack(batches):
-        held, size, turn = [], 0, 0
+        held, size = [], 0
 
         def flush():
-            owners, pos, hashes = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order = np.argsort(hashes >> _U64(1), kind="stable")
-            owners, pos, hashes = owners[order], pos[order], hashes[order] & ~_U64(1)
+            owners, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            owners, hashes = owners[order], hashes[order]
             starts, run = _runs(hashes)
             many = _several_owners(starts, run, owners)[run]
-            local = b"".join(_blob(x) for x in (np.array([many.sum()], _I64), owners[many], pos[many].astype(_I32)))
+            short, buckets = _short(hashes), ((hashes >> _U64(33)) % _U64(n_buckets)).astype(_I64)
+            own = told(owners[many], short[many])
             first = np.zeros(len(hashes), bool)
             first[starts] = True
-            send = ~many | first
-            owners, pos, hashes = owners[send], pos[send].astype(_I32), hashes[send] | many[send].astype(_U64)
-            by_owner = np.argsort(owners, kind="stable")
-            owners, pos, hashes = owners[by_owner], pos[by_owner], hashes[by_owner]
-            rows = []
-            for k, at in _buckets(((hashes >> _U64(24)) % _U64(n_buckets)).astype(_I32), n_buckets):
-                ids, counts = np.unique(owners[at], return_counts=True)
-                rows.append((k, _blob(ids), _blob(counts.astype(_I32)), _blob(pos[at]), _blob(hashes[at]), b""))
-            rows.append((turn % n_buckets, b"", b"", b"", b"", local))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=names)
+            send = ~many | first  # the lowest bit marks those that need no answer
+            owners, short, buckets = owners[send], short[send] | many[send], buckets[send]
+            return _batch([(k, _blob(owners[at]), _blob(short[at])) for k, at in _split(buckets, n_buckets)] + own, names)
 
         for b in batches:
             found = anchors(*common.texts_of(b.column(1)))
             if len(found.pos):
-                held.append((b.column(0).to_numpy(zero_copy_only=False).astype(_I64)[found.owner], found.pos, found.hash))
+                held.append((b.column(0).to_numpy(zero_copy_only=False).astype(_I64)[found.owner], found.hash))
                 size += len(found.pos)
             if size >= CHUNK:
                 yield flush()
-                held, size, turn = [], 0, turn + 1
+                held, size = [], 0
         if size:
             yield flush()
 
     def meet(batches):
-        owners, pos, hashes = [np.zeros(0, _I64)], [np.zeros(0, _I32)], [np.zeros(0, _U64)]
-        own, own_pos = [np.zeros(0, _I64)], [np.zeros(0, _I32)]
-        for b in batches:
-            for _, o, c, p, h, local in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                owners.append(np.repeat(np.frombuffer(o, _I64), np.frombuffer(c, _I32)))
-                pos.append(np.frombuffer(p, _I32))
-                hashes.append(np.frombuffer(h, _U64))
-                if local:
-                    n = int(np.frombuffer(local, _I64, 1)[0])
-                    own.append(np.frombuffer(local, _I64, n, 8))
-                    own_pos.append(np.frombuffer(local, _I32, n, 8 + 8 * n))
-        owners, pos, hashes = map(np.concatenate, (owners, pos, hashes))
-        order = np.argsort(hashes >> _U64(1), kind="stable")
-        owners, pos, hashes = owners[order], pos[order], hashes[order]
-        starts, run = _runs(hashes >> _U64(1))
-        good = _several_owners(starts, run, owners)[run] & (hashes & _U64(1) == 0) if len(owners) else np.zeros(0, bool)
-        for columns in _by_owner(np.concatenate([owners[good], *own]), np.concatenate([pos[good], *own_pos])):
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "positions"])
-
-    packed = docs.mapInArrow(pack, "bucket int, owners binary, counts binary, positions binary, hashes binary, local binary")
-    met = packed.repartition(n_buckets, "bucket").mapInArrow(meet, "doc_id long, positions binary")
-    return met.groupBy("doc_id").agg(F.collect_list("positions").alias("positions"))
+        for some in common.keyed_batches(batches):
+            k = some.column(0)[0].as_py()
+            owners, hashes = _gathered([some], [_I64, _U32])
+            if k < 0:
+                yield _batch([(k, _blob(owners), _blob(hashes))], names)
+                continue
+            order = np.argsort(hashes >> one, kind="stable")
+            owners, hashes = owners[order], hashes[order]
+            starts, run = _runs(hashes >> one)
+            good = _several_owners(starts, run, owners)[run] & (hashes & one == 0)
+            yield _batch(told(owners[good], hashes[good]), names)
+
+    def unite(batches):
+        owners, hashes = _gathered(batches, [_I64, _U32])
+        order = np.argsort(owners, kind="stable")
+        owners, hashes = owners[order], hashes[order]
+        starts, _ = _runs(owners)
+        cuts = np.append(starts, len(owners)).tolist()
+        for k in range(0, len(starts), 2000):
+            lists = [_blob(np.unique(hashes[cuts[i] : cuts[i + 1]])) for i in range(k, min(k + 2000, len(starts)))]
+            yield pa.RecordBatch.from_arrays([pa.array(owners[starts[k : k + 2000]]), pa.array(lists, pa.binary())], names=["doc_id", "anchors"])
+
+    kind = "bucket int, owners binary, hashes binary"
+    packed = docs.mapInArrow(common.trimmed(pack), kind).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(common.trimmed(meet), kind).repartition(n_buckets, "bucket").mapInArrow(common.trimmed(unite), "doc_id long, anchors binary")
 
 
 def refine(text: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -228,162 +224,233 @@ def refine(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     return bucket
 
 
-def repeated_spans(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """doc_id with packed first and last starts of strings that an earlier document has too."""
+_STRETCHES = ["bucket", "keys", "owners", "firsts", "counts", "bytes"]
+_KINDS = [_U64, _I64, _I32, _I32]
+
+
+def _gone(owners: np.ndarray, firsts: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[tuple]:
+    """Rows of strings that go, by bucket of documents (below 0)."""
+    return [(-1 - k, b"", *(_blob(x[at]) for x in (owners, firsts, counts)), b"") for k, at in _split(_own_bucket(owners, n_buckets), n_buckets)]
+
+
+def _packed(keys, owners, firsts, counts, pieces: list[bytes], n_buckets: int) -> pa.RecordBatch:
+    """Rows of stretches by bucket of keys; of equal stretches the first owner's alone, as those of others go."""
+    prints = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in pieces], _U64)
+    order = np.lexsort((owners, prints, keys))
+    same = np.concatenate([[False], (keys[order][1:] == keys[order][:-1]) & (prints[order][1:] == prints[order][:-1]) & (counts[order][1:] == counts[order][:-1])])
+    lead = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
+    later = same & (owners[order] > owners[order][lead])
+    gone, keep = order[later], np.sort(order[~later])  # a text's own repeats are judged each
+    rows = _gone(owners[gone], firsts[gone], counts[gone], n_buckets)
+    for k, at in _split(((keys[keep] >> _U64(16)) % _U64(n_buckets)).astype(_I64), n_buckets):
+        at = keep[at]
+        rows.append((k, *(_blob(x[at]) for x in (keys, owners, firsts, counts)), b"".join([pieces[i] for i in at.tolist()])))
+    return _batch(rows, _STRETCHES)
+
+
+class _Held:
+    """Stretches that a task holds: keys, owners, firsts, counts, and all bytes in a row."""
+
+    def __init__(self):
+        self.parts, self.bytes, self.size = [], [], 0
+
+    def add(self, columns, data):
+        self.parts.append(columns)
+        self.bytes.append(data)
+        self.size += len(data)
+
+    def whole(self):
+        keys, owners, firsts, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        return keys, owners, firsts, counts, np.concatenate(self.bytes)
+
+
+def _taken(columns, data: np.ndarray, some: np.ndarray):
+    """The chosen stretches (a mask) and their bytes."""
+    sizes = columns[3].astype(_I64) + LENGTH - 1
+    return [c[some] for c in columns], data[np.repeat(some, sizes)]
+
+
+def _strings(columns, data: np.ndarray, n_buckets: int):
+    """Each string of the stretches as a stretch of its own, with a key of all its bytes."""
+    _, owners, firsts, counts = columns
+    begin = np.cumsum(counts.astype(_I64) + LENGTH - 1) - (counts + LENGTH - 1)
+    for k in range(0, len(owners), CHUNK // 32):
+        some = slice(k, k + CHUNK // 32)
+        n = counts[some].astype(_I64)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        body = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[np.repeat(begin[some], n) + inside]
+        keys = mix((_RANDOM[body] * _powers(LENGTH)[0]).sum(axis=1, dtype=_U64))
+        yield _packed(keys, np.repeat(owners[some], n), np.repeat(firsts[some], n) + inside.astype(_I32), np.ones(len(keys), _I32), [x.tobytes() for x in body], n_buckets)
+
+
+def _sorted_out(held: _Held, n_buckets: int) -> list[tuple]:
+    """Rows of the strings that go, by refinement of the suffixes of each group of stretches with one key."""
+    keys, owners, firsts, counts, data = held.whole()
+    ends = np.cumsum(counts.astype(_I64) + LENGTH - 1)
+    order = np.argsort(keys, kind="stable")
+    starts, run = _runs(keys[order])
+    keep = order[_several_owners(starts, run, owners[order])[run]]  # a key of one document has no match
+    total = np.cumsum(counts[keep].astype(_I64) + LENGTH - 1)
+    done = [[np.zeros(0, _I64)], [np.zeros(0, _I32)], [np.zeros(0, _I32)]]
+    cut = 0
+    while cut < len(keep):  # groups of keys, so that a sort holds a bounded text
+        stop = max(cut + 1, int(np.searchsorted(total, (total[cut - 1] if cut else 0) + SORTED, "right")))
+        stop = int(np.searchsorted(keys[keep], keys[keep[stop - 1]], "right"))
+        some = keep[cut:stop]
+        cut = stop
+        sizes = counts[some].astype(_I64) + LENGTH - 1
+        stretch = np.repeat(np.arange(len(some)), sizes)
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text = data[np.repeat(ends[some] - sizes, sizes) + inside]
+        bucket = refine(text, sizes[stretch] - inside)
+        at = np.flatnonzero(bucket >= 0)
+        owner, bucket = owners[some][stretch[at]], bucket[at]
+        least = np.full(int(bucket.max()) + 1, np.iinfo(_I64).max)
+        np.minimum.at(least, bucket, owner)
+        gone = owner > least[bucket]
+        string = firsts[some][stretch[at]][gone].astype(_I64) + inside[at][gone]
+        owner, part = owner[gone], stretch[at][gone]
+        if len(string):
+            new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (string[1:] != string[:-1] + 1)]))
+            last = np.append(new[1:], len(string)) - 1
+            for out, value in zip(done, (owner[new], string[new].astype(_I32), (string[last] - string[new] + 1).astype(_I32)), strict=True):
+                out.append(value)
+    return _gone(*map(np.concatenate, done), n_buckets)
+
+
+def repeated_spans(docs: DataFrame, shared: DataFrame, n_bytes: int, held_bytes: int = 64 << 20, hot: int = 20_000) -> DataFrame:
+    """doc_id with packed starts and ends of the runs of bytes that go. n_bytes: of all stretches, about.
+
+    A task that holds more than held_bytes of a bucket sends the stretches of
+    keys that have more than hot of them on, string by string, so that they
+    are dealt out by all their bytes.
+    """
     spark = docs.sparkSession
     common.tune(spark)
-    n_buckets = common.shuffle_parts(spark)
-    names = ["bucket", "keys", "owners", "firsts", "counts", "bytes", "local"]
-    joined = docs.join(shared, "doc_id").select("doc_id", "text", "positions")
+    n_buckets = max(common.shuffle_parts(spark), -(-n_bytes // BUCKET))
+    joined = docs.join(shared, "doc_id").select("doc_id", "text", "anchors")
 
     def pack(batches):
-        held, size, turn = [], 0, 0
+        held, size = [], 0
 
         def flush():
-            keys, owners, firsts, counts, prints = (np.concatenate([h[k] for h in held]) for k in range(5))
-            pieces = [p for h in held for p in h[5]]
-            order = np.lexsort((owners, prints, keys))
-            same = np.concatenate([[False], (keys[order][1:] == keys[order][:-1]) & (prints[order][1:] == prints[order][:-1]) & (counts[order][1:] == counts[order][:-1])])
-            lead = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-            later = owners[order] > owners[order][lead]
-            gone = order[same & later]
-            keep = np.sort(order[~(same & later)])  # a text's own repeats are judged each
-            n = np.array([len(gone)], _I64)
-            local = b"".join((_blob(n), _blob(owners[gone]), _blob(firsts[gone].astype(_I32)), _blob(counts[gone].astype(_I32))))
-            rows = []
-            for k, at in _buckets((keys[keep] >> _U64(16)) % _U64(n_buckets), n_buckets):
-                at = keep[at]
-                rows.append((k, _blob(keys[at]), _blob(owners[at]), _blob(firsts[at].astype(_I32)), _blob(counts[at].astype(_I32)), b"".join([pieces[i] for i in at.tolist()]), b""))
-            rows.append((turn % n_buckets, b"", b"", b"", b"", b"", local))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], names=names)
+            return _packed(*(np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True)), [p for h in held for p in h[4]], n_buckets)
 
         for b in batches:
             data, offsets = common.texts_of(b.column(1))
             found = anchors(data, offsets)
             if not len(found.pos):
                 continue
-            lists = [np.unique(np.concatenate([np.frombuffer(x, _I32) for x in some])) for some in b.column(2).to_pylist()]
-            wanted = np.concatenate([x.astype(_I64) + (k << 36) for k, x in enumerate(lists)])
-            hit = np.isin(found.pos + (found.owner << 36), wanted)
+            wanted = np.concatenate([np.frombuffer(x, _U32).astype(_I64) + (k << 32) for k, x in enumerate(b.column(2).to_pylist())])
+            hit = np.isin(_short(found.hash).astype(_I64) + (found.owner << 32), wanted)
             pos, first, last, owner = (getattr(found, x)[hit] for x in ("pos", "first", "last", "owner"))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(_I64)
             turn_at = pos - LEFT  # strings up to here have all LEFT bytes before the anchor
             parts = [(first, np.minimum(last, turn_at), found.left[hit]), (np.maximum(first, turn_at + 1), last, found.right[hit])]
             for lo, hi, side in parts:
-                some = np.flatnonzero(lo <= hi)
-                if len(some):
-                    lo, hi, begin = lo[some], hi[some], offsets[owner[some]]
-                    bits = [data[a:z].tobytes() for a, z in zip((begin + lo).tolist(), (begin + hi + LENGTH).tolist(), strict=True)]
-                    prints = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in bits], _U64)
-                    held.append((mix(found.hash[hit][some] + side[some]), ids[owner[some]], lo, hi - lo + 1, prints, bits))
-                    size += len(some)
-            if size >= CHUNK // 2:
-                yield flush()
-                held, size, turn = [], 0, turn + 1
+                for some in np.array_split(np.flatnonzero(lo <= hi), 1 + len(lo) // (CHUNK // 4)):
+                    if len(some):
+                        a, z, begin = lo[some], hi[some], offsets[owner[some]]
+                        bits = [data[i:j].tobytes() for i, j in zip((begin + a).tolist(), (begin + z + LENGTH).tolist(), strict=True)]
+                        held.append((mix(found.hash[hit][some] + side[some]), ids[owner[some]], a.astype(_I32), (z - a + 1).astype(_I32), bits))
+                        size += len(some)
+                    if size >= CHUNK // 4:
+                        yield flush()
+                        held, size = [], 0
         if size:
             yield flush()
 
-    def sort(batches):
-        keys, owners, firsts, counts, parts = [np.zeros(0, _U64)], [np.zeros(0, _I64)], [np.zeros(0, _I32)], [np.zeros(0, _I32)], []
-        done = [[np.zeros(0, _I64)], [np.zeros(0, _I32)], [np.zeros(0, _I32)]]
-        for b in batches:
-            for _, k, o, f, c, data, local in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                keys.append(np.frombuffer(k, _U64))
-                owners.append(np.frombuffer(o, _I64))
-                firsts.append(np.frombuffer(f, _I32))
-                counts.append(np.frombuffer(c, _I32))
-                parts.append(np.frombuffer(data, np.uint8))
-                if local:
-                    n = int(np.frombuffer(local, _I64, 1)[0])
-                    done[0].append(np.frombuffer(local, _I64, n, 8))
-                    lo, runs = np.frombuffer(local, _I32, n, 8 + 8 * n), np.frombuffer(local, _I32, n, 8 + 12 * n)
-                    done[1].append(lo)
-                    done[2].append(lo + runs - 1)
-        keys, owners, firsts, counts = map(np.concatenate, (keys, owners, firsts, counts))
-        data = np.concatenate([*parts, np.zeros(0, np.uint8)])
-        ends = np.cumsum(counts.astype(_I64) + LENGTH - 1)
-        order = np.argsort(keys, kind="stable")
-        starts, run = _runs(keys[order])
-        keep = order[_several_owners(starts, run, owners[order])[run]] if len(order) else order  # a key of one document has no match
-        # groups of keys, so that the sort of a task holds a bounded text
-        cut = 0
-        while cut < len(keep):
-            total = np.cumsum(counts[keep[cut:]].astype(_I64) + LENGTH - 1)
-            stop = cut + max(1, int(np.searchsorted(total, 1 << 20, "right")))
-            while stop < len(keep) and keys[keep[stop]] == keys[keep[stop - 1]]:
-                stop += 1
-            some = keep[cut:stop]
-            cut = stop
-            sizes = counts[some].astype(_I64) + LENGTH - 1
-            stretch = np.repeat(np.arange(len(some)), sizes)
-            inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            text = data[np.repeat(ends[some] - sizes, sizes) + inside]
-            bucket = refine(text, sizes[stretch] - inside)
-            at = np.flatnonzero(bucket >= 0)
-            owner, bucket = owners[some][stretch[at]], bucket[at]
-            least = np.full(int(bucket.max()) + 1, np.iinfo(_I64).max)
-            np.minimum.at(least, bucket, owner)
-            gone = owner > least[bucket]
-            string = firsts[some][stretch[at]][gone].astype(_I64) + inside[at][gone]
-            owner, part = owner[gone], stretch[at][gone]
-            if len(string):
-                new = np.concatenate([[True], (part[1:] != part[:-1]) | (string[1:] != string[:-1] + 1)])
-                last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
-                done[0].append(owner[new])
-                done[1].append(string[new].astype(_I32))
-                done[2].append(string[last].astype(_I32))
-        for columns in _by_owner(*map(np.concatenate, done)):
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lo", "hi"])
-
-    packed = joined.mapInArrow(pack, "bucket int, keys binary, owners binary, firsts binary, counts binary, bytes binary, local binary")
-    sorted_ = packed.repartition(n_buckets, "bucket").mapInArrow(sort, "doc_id long, lo binary, hi binary")
-    return sorted_.groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    def sort(spread):
+        def run(batches):
+            now, held, limit, apart = None, _Held(), held_bytes, np.zeros(0, _U64)
+            for b in batches:
+                for k, *columns, data in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if k < 0:  # on its way to the document
+                        yield _batch([(k, *columns, data)], _STRETCHES)
+                        continue
+                    if k != now:
+                        if held.parts:
+                            yield _batch(_sorted_out(held, n_buckets), _STRETCHES)
+                        now, held, limit, apart = k, _Held(), held_bytes, np.zeros(0, _U64)
+                    columns, data = [np.frombuffer(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], np.frombuffer(data, np.uint8)
+                    if len(apart) and (some := np.isin(columns[0], apart)).any():
+                        yield from _strings(*_taken(columns, data, some), n_buckets)
+                        columns, data = _taken(columns, data, ~some)
+                    held.add(columns, data)
+                    if spread and held.size > limit:
+                        *columns, data = held.whole()
+                        keys, counts = np.unique(columns[0], return_counts=True)
+                        apart = np.union1d(apart, keys[counts > hot])
+                        some, held = np.isin(columns[0], apart), _Held()
+                        yield from _strings(*_taken(columns, data, some), n_buckets)
+                        held.add(*_taken(columns, data, ~some))
+                        limit = max(limit, 2 * held.size)
+            if held.parts:
+                yield _batch(_sorted_out(held, n_buckets), _STRETCHES)
+
+        return common.trimmed(run)
+
+    def unite(batches):
+        owners, lo, counts = _gathered((b.select(["bucket", "owners", "firsts", "counts"]) for b in batches), _KINDS[1:])
+        order = np.lexsort((lo, owners))
+        owners, lo = owners[order], lo[order].astype(_I64)
+        own, rank = _runs(owners)
+        a = lo + (rank << 33)  # apart by document
+        z = np.maximum.accumulate(a + counts[order] - 1 + LENGTH) if len(a) else a
+        new = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]])) if len(a) else np.zeros(0, _I64)
+        starts, ends = lo[new].astype(_I32), ((z - (rank << 33))[np.append(new[1:], len(a)) - 1] if len(a) else z).astype(_I32)
+        cuts = np.append(np.searchsorted(new, own), len(new)).tolist()
+        for k in range(0, len(own), 2000):
+            some = range(k, min(k + 2000, len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(owners[own[k : k + 2000]]), *(pa.array([_blob(x[cuts[i] : cuts[i + 1]]) for i in some], pa.binary()) for x in (starts, ends))], names=["doc_id", "lo", "hi"])
+
+    kind = "bucket int, keys binary, owners binary, firsts binary, counts binary, bytes binary"
+    rows = joined.mapInArrow(common.trimmed(pack), kind)
+    for spread in (True, False):
+        rows = rows.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(sort(spread), kind)
+    return rows.repartition(n_buckets, "bucket").mapInArrow(common.trimmed(unite), "doc_id long, lo binary, hi binary")
+
+
+def _broadcast(df: DataFrame, *binaries: str) -> DataFrame:
+    """df, broadcast if its binary columns and 64 bytes a row come to BROADCAST_BYTES at most."""
+    n = df.agg(F.coalesce(F.sum(sum((F.octet_length(c) for c in binaries), F.lit(64))), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
 def removal(docs: DataFrame) -> DataFrame:
     """doc_id (long), text, lo, hi and whole (a later copy) for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    hashes = named.select("doc_id", F.sha2("text", 256).alias("hash"))
+    hashes = common.stored(named.select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("bytes")), "hashes")
     firsts = hashes.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
     copies = hashes.join(firsts, "hash").where(F.col("doc_id") > F.col("first")).select("doc_id", "hash").distinct()
     copies = common.stored(copies, "text-copies")
     texts = hashes.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
     several = common.stored(texts.where("least <> most").select(F.col("doc_id").alias("several"), "least"), "several-texts")
     aside = F.lit(False)
-    if several.count():  # of an id's texts one takes part
+    if not several.isEmpty():  # of an id's texts one takes part
         docs, named = (x.join(several, F.col("doc_id") == F.col("several"), "left") for x in (docs, named))
         aside = F.coalesce(F.sha2("text", 256) != F.col("least"), F.lit(False))
         copies = copies.join(several, F.col("doc_id") == F.col("several"), "left").where("least is null or hash = least").select("doc_id", "hash")
     kept = _restricted(named.where(~aside).select("doc_id", "text"), common.stored(copies.select("doc_id").distinct(), "copy-ids"), "left_anti")
-    shared = common.stored(shared_anchors(kept), "anchors")
-    common.release(docs.sparkSession)
-    spans = common.stored(repeated_spans(kept, shared), "spans")
-    common.release(docs.sparkSession)
-    spans = F.broadcast(spans) if spans.count() <= BROADCAST_DOCS else spans
-    marks = copies.select(F.col("doc_id").alias("copy"), F.col("hash").alias("copy_hash"))
-    marks = F.broadcast(marks) if marks.count() <= BROADCAST_DOCS else marks
+    n_bytes = hashes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    shared = common.stored(shared_anchors(kept, n_bytes), "anchors")
+    n_anchors = shared.agg(F.coalesce(F.sum(F.octet_length("anchors") / 4), F.lit(0.0))).first()[0]
+    spans = _broadcast(common.stored(repeated_spans(kept, _broadcast(shared, "anchors"), int(n_anchors) * 2 * (LENGTH + SPAN)), "spans"), "lo", "hi")
+    marks = _broadcast(copies.select(F.col("doc_id").alias("copy"), F.col("hash").alias("copy_hash")), "copy_hash")
     rows = docs.join(spans, "doc_id", "left").join(marks, (F.col("doc_id") == F.col("copy")) & (F.sha2("text", 256) == F.col("copy_hash")), "left")
     lo, hi = (F.when(~aside, F.col(c)).alias(c) for c in ("lo", "hi"))
     return rows.select("doc_id", "text", lo, hi, F.col("copy").isNotNull().alias("whole"))
 
 
-def kept_bytes(body: bytes, lo: list[bytes] | None, hi: list[bytes] | None, whole: bool) -> tuple[bytes, int]:
+def kept_bytes(body: bytes, lo: bytes | None, hi: bytes | None, whole: bool) -> tuple[bytes, int]:
     """What is left of a text, and the number of maximal removed runs."""
     if whole:
         return b"", int(len(body) > 0)
     if not lo:
         return body, 0
-    a, z = np.concatenate([np.frombuffer(x, _I32) for x in lo]), np.concatenate([np.frombuffer(x, _I32) for x in hi]) + LENGTH
-    order = np.argsort(a, kind="stable")
-    a, z = a[order], np.maximum.accumulate(z[order])
-    new = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))
-    starts, ends = a[new].tolist(), z[np.append(new[1:], len(a)) - 1].tolist()
-    out, at = [], 0
-    for s, e in zip(starts, ends, strict=True):
-        out.append(body[at:s])
-        at = e
-    return b"".join([*out, body[at:]]), len(starts)
+    starts, ends = np.frombuffer(lo, _I32).tolist(), np.frombuffer(hi, _I32).tolist()
+    return b"".join([body[a:z] for a, z in zip([0, *ends], [*starts, len(body)], strict=True)]), len(starts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
