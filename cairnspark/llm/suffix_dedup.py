@@ -436,7 +436,7 @@ def removal(docs: DataFrame) -> DataFrame:
     n_bytes = hashes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shared = common.stored(shared_anchors(kept, n_bytes), "anchors")
     n_anchors = shared.agg(F.coalesce(F.sum(F.octet_length("anchors") / 4), F.lit(0.0))).first()[0]
-    spans = _broadcast(common.stored(repeated_spans(kept, _broadcast(shared, "anchors"), int(n_anchors) * 2 * (LENGTH + SPAN)), "spans"), "lo", "hi")
+    spans = _broadcast(common.stored(repeated_spans(kept, shared, int(n_anchors) * 2 * (LENGTH + SPAN)), "spans"), "lo", "hi")
     marks = _broadcast(copies.select(F.col("doc_id").alias("copy"), F.col("hash").alias("copy_hash")), "copy_hash")
     rows = docs.join(spans, "doc_id", "left").join(marks, (F.col("doc_id") == F.col("copy")) & (F.sha2("text", 256) == F.col("copy_hash")), "left")
     lo, hi = (F.when(~aside, F.col(c)).alias(c) for c in ("lo", "hi"))
