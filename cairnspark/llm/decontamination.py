@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, RAREST = 10, 2
-#: Test tables of up to so many rows (of at most a few hundred bytes each) are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Test tables of up to so many rows (terms, or WINDOW words and their offsets) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands behind the last word of each document; no word equals it.
 LAST = "\n"
@@ -49,7 +49,7 @@ def word_count(words: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, broadcast if it has few rows."""
+    """df, broadcast if it has few rows; rows must be those of df itself."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
@@ -126,7 +126,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     spans = hits.select("doc_id", "text_key", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
     covered = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0))))
     n_hit = spans.withColumn("covered", covered).groupBy("doc_id", "text_key").agg(F.sum("covered").alias("n_hit"))
-    met = hits.select("doc_id", "text_key", "win").distinct().join(small(windows.select("win", "items"), index.n_terms), "win")
+    met = hits.select("doc_id", "text_key", "win").distinct().join(windows.select("win", "items"), "win")
     item_ids = met.select("doc_id", "text_key", F.explode("items").alias("item")).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     found = n_hit.join(item_ids.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("k")))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n_hit", "items")
@@ -141,7 +141,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    found = decontaminate(docs, common.read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_anti").drop("__key")
+    """Drops documents that hold a window of a benchmark item; each row is judged by its own text."""
+    key, same_id, same_key = (common.free_name(docs, c) for c in ("text_hash", "found_id", "found_hash"))
+    found = decontaminate(docs, common.read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(same_id), F.col("text_key").alias(same_key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col(same_id)) & (F.col(key) == F.col(same_key)), "left_anti").drop(key)

@@ -2,7 +2,7 @@
 
 Equal vectors are one node with their k + 1 smallest ids, which is all that a
 list of k neighbours with ties to smaller ids can hold of them. The different
-vectors are dealt into shards of about ``SHARD_ROWS`` by hash. Each shard's
+vectors are dealt into shards by hash. Each shard's
 graph is built in one task and stored as flat arrays: the neighbours of node i
 in layer 0 are row i of one array, those in upper layers rows of smaller ones.
 Queries go to every shard in blocks; the shards' lists are merged by score and
@@ -11,7 +11,9 @@ id. Scores are cosines in double precision on the original vectors.
 Defined results: vectors that are null, zero, empty, or hold nulls or
 non-finite components take no part, nor do rows with a null id; vectors of
 different lengths are no neighbours; rows with equal ids and vectors count
-once; other columns are left out.
+once; rows with equal ids and different vectors are neighbours of their own,
+never of each other, and as queries give one list of the k nearest of all of
+them; other columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD_ROWS, BLOCK_QUERIES = 4096, 16_384
+#: Shards grow from SHARD_ROWS vectors, when there are as many as tasks, to SHARD_NUMBERS numbers.
+SHARD_ROWS, SHARD_NUMBERS, BLOCK_QUERIES = 4096, 8 << 20, 16_384
 LINKS, EF_BUILD, EF_SEARCH = 12, 48, 96
 
 
@@ -126,6 +129,21 @@ def usable(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component, which is exact but for components far below it."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
+def unit_of(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = scaled(a), scaled(b)
+    return float(np.dot(a, b)) / (float(np.linalg.norm(a)) * float(np.linalg.norm(b)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -137,23 +155,24 @@ def build_index(table: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("v").orderBy("vec_id")
     small = table.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k + 1)
     nodes = common.stored(small.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "nodes")
-    shards = max(1, math.ceil(nodes.count() / SHARD_ROWS))
-    dealt = nodes.withColumn("shard", F.concat_ws("-", F.size("v"), F.pmod(F.xxhash64("v"), F.lit(shards))))
+    n, dim = nodes.agg(F.count("*"), F.max(F.size("v"))).first()
+    shards = max(1, math.ceil(n * (dim or 1) / SHARD_NUMBERS), min(common.shuffle_parts(spark), math.ceil(n / SHARD_ROWS)))
+    dealt = nodes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
 
     def build(shard: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         v = _matrix(rows.column("v").chunk(0))
         order = np.lexsort(v.T[::-1])
         v, ids = v[order], [rows.column("ids")[int(i)].as_py() for i in order]
-        unit = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        unit = unit_of(v).astype(np.float32)
         graph = FlatHnsw.build(unit)
         table = np.full((len(ids), k + 1), -1, np.int64)
         for i, x in enumerate(ids):
             table[i, : len(x)] = x
-        return pa.table({"shard": [shard[0].as_py()], "dim": [v.shape[1]], "v": [v.tobytes()], "ids": [table.tobytes()], "entry": [graph.entry], "rows": [[r.tobytes() for r, _ in graph.layers]], "links": [[t.tobytes() for _, t in graph.layers]]}, schema=pa.schema([("shard", pa.string()), ("dim", pa.int64()), ("v", pa.binary()), ("ids", pa.binary()), ("entry", pa.int64()), ("rows", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
+        return pa.table({"shard": [shard[1].as_py()], "dim": [v.shape[1]], "v": [v.tobytes()], "ids": [table.tobytes()], "entry": [graph.entry], "rows": [[r.tobytes() for r, _ in graph.layers]], "links": [[t.tobytes() for _, t in graph.layers]]}, schema=pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("v", pa.binary()), ("ids", pa.binary()), ("entry", pa.int64()), ("rows", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
 
     common.tune(spark)
-    return common.stored(dealt.groupBy("shard").applyInArrow(build, "shard string, dim long, v binary, ids binary, entry long, rows array<binary>, links array<binary>"), "graphs")
+    return common.stored(dealt.groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, v binary, ids binary, entry long, rows array<binary>, links array<binary>"), "graphs")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
@@ -162,10 +181,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) ->
     blocked = queries.distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     graphs = index.select("*", every.alias("block"))
-    shards = [r[0] for r in index.select("shard").collect()]  # one short name for each SHARD_ROWS vectors
-    if not shards:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = blocked.select("vec_id", "v", "block", F.explode(F.array(*map(F.lit, shards))).alias("shard")).where(F.col("shard").startswith(F.concat(F.size("v").cast("string"), F.lit("-"))))
+    names = index.groupBy("dim").agg(F.collect_set("shard").alias("shards"))  # a number for each shard
+    asked = blocked.withColumn("dim", F.size("v")).join(names, "dim").select("vec_id", "v", "block", "dim", F.explode("shards").alias("shard"))
 
     def run(_, graph: pa.Table, asked: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -174,17 +191,16 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) ->
             dim = g["dim"]
             v, ids = np.frombuffer(g["v"], np.float64).reshape(-1, dim), np.frombuffer(g["ids"], np.int64)
             ids = ids.reshape(len(v), -1)
-            norms = np.linalg.norm(v, axis=1)
+            unit = unit_of(v)
             layers = []
             for r, t in zip(g["rows"], g["links"], strict=True):
                 row = np.frombuffer(r, np.int32)
                 layers.append((row, np.frombuffer(t, np.int32).reshape(int((row >= 0).sum()), -1)))
-            net = FlatHnsw((v / norms[:, None]).astype(np.float32), g["entry"], layers)
+            net = FlatHnsw(unit.astype(np.float32), g["entry"], layers)
             for q, x in zip(asked.column("vec_id").to_pylist(), asked.column("v").to_pylist(), strict=True):
                 x = np.array(x)
-                size = float(np.linalg.norm(x))
-                near = np.array(net.search((x / size).astype(np.float32), max(ef, k)))
-                scores = np.array([float(np.dot(v[i], x)) for i in near]) / (norms[near] * size)
+                near = np.array(net.search(unit_of(x[None])[0].astype(np.float32), max(ef, k)))
+                scores = [cosine(v[i], x) for i in near]
                 found = [(-s, int(i)) for s, node in zip(scores, near, strict=True) for i in ids[node] if i >= 0 and i != q]
                 for s, i in sorted(found)[:k]:
                     out[0].append(q)
@@ -192,7 +208,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) ->
                     out[2].append(-s)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    lists = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+    lists = graphs.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

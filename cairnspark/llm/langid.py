@@ -33,6 +33,8 @@ ORDER = 3
 #: The classifier is fitted on a bounded sample: whole texts of so many labelled rows for each language.
 SAMPLE_PER_LANG = 400
 SLICE = 1 << 20
+#: Bits a byte of a coder that knows no language.
+UNIFORM = 8.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -43,13 +45,13 @@ def held_out(doc_id) -> F.Column:
 def training_rows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tuple[str, bytes]]:
     """(lang, text) of the rows with the smallest hashes of doc_id in each language, held-out rows apart."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
-    ids = sorted({r[0] for r in picked.select("doc_id").collect()})
-    if not ids:
-        return []
-    sample = rows.where(F.col("doc_id").isin(ids)).select("lang", "text")
-    return sorted((r[0], r[1].encode()) for r in sample.collect())
+    rows = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"), "text")
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "hash"))
+    # the first ones of each share of a language, and of those the first ones of the language
+    picked = rows.select("lang", "doc_id", "hash").withColumn("share", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(64)))
+    picked = picked.withColumn("rank", first("lang", "share")).where(F.col("rank") <= per_lang).withColumn("rank", first("lang")).where(F.col("rank") <= per_lang)
+    sample = rows.join(F.broadcast(picked.select("lang", "doc_id", "hash").distinct()), ["lang", "doc_id", "hash"])  # per_lang rows of each language at most
+    return sorted({(r[0], r[3].encode()): None for r in sample.dropDuplicates(["lang", "doc_id", "hash"]).collect()})
 
 
 class PpmModel:
@@ -150,37 +152,39 @@ class PpmModel:
             first = last
         return bits
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """By text its language, the score, and the bits a byte that the language takes."""
         data, offsets = common.texts_of(texts)
         values = texts.to_pylist()
         letters = np.array([bool(v and LETTER.search(v)) for v in values], bool)
         if not self.langs:
-            return ["und"] * len(values), np.zeros(len(values))
+            return ["und"] * len(values), np.zeros(len(values)), np.zeros(len(values))
         bits = self.code_lengths(data, offsets)
         best = bits.argmin(axis=1)
         shortest = bits[np.arange(len(bits)), best]
         share = 1.0 / np.exp2(np.maximum(shortest[:, None] - bits, -1000.0)).sum(axis=1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, share, 0.0)
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, share, 0.0), shortest / np.maximum(1, np.diff(offsets))
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> PpmModel:
     return PpmModel.fit(training_rows(docs, per_lang))
 
 
-def identify(docs: DataFrame, model: PpmModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language of each whole text and its share of 2^-bits among the languages."""
+def identify(docs: DataFrame, model: PpmModel, text: str = "text", pred: str = "lang_pred", score: str = "score", rate: str | None = None) -> DataFrame:
+    """docs with the predicted language of each whole text, its share of 2^-bits among the languages and, if asked for, its bits a byte."""
     spark = docs.sparkSession
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = common.with_columns(docs.schema, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False))
+    schema = common.with_columns(docs.schema, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False), *([T.StructField(rate, T.DoubleType(), False)] if rate else []))
 
     def run(batches):
         ppm = shared.value
         for b in batches:
-            langs, scores = ppm.predict(b.column(b.schema.get_field_index(text)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, pred, score])
+            langs, *numbers = ppm.predict(b.column(b.schema.get_field_index(text)))
+            more = [pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers[: 1 + bool(rate)])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +194,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are in no language (``und``); others keep their columns."""
-    pred, score = common.free_name(docs, "lang_pred"), common.free_name(docs, "score")
-    return identify(docs, fit(docs), pred=pred, score=score).where(F.col(pred) != "und").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Drops documents that are in no language; others keep their columns.
+
+    Those are the texts without a letter, and the ones that the shortest code
+    of all languages makes no shorter than UNIFORM bits a byte.
+    """
+    pred, score, rate = (common.free_name(docs, c) for c in ("lang_pred", "score", "rate"))
+    told = identify(docs, fit(docs), pred=pred, score=score, rate=rate)
+    return told.where((F.col(pred) != "und") & (F.col(rate) < UNIFORM)).select(*(F.col(f"`{c}`") for c in docs.columns))

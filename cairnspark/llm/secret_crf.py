@@ -486,7 +486,7 @@ def scan(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(common.trimmed(run), schema)
 
 
 def redact(docs: DataFrame, crf: Crf, text: str = "text", filler: str = "[secret]") -> DataFrame:
@@ -510,7 +510,7 @@ def redact(docs: DataFrame, crf: Crf, text: str = "text", filler: str = "[secret
             new = pa.array([clean(t, h, model) if t else t for t, h in zip(b.column(at).to_pylist(), _flags(b.column(at)), strict=True)], pa.string())
             yield b.set_column(at, b.schema.field(at), new.cast(b.column(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

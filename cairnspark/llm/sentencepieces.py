@@ -260,7 +260,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
                 new.append(pa.array([bpe.decode(c) for c in coded], pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(f.name for f in more)])
 
-    return docs.mapInArrow(run, common.with_columns(docs.schema, *more))
+    return docs.mapInArrow(common.trimmed(run), common.with_columns(docs.schema, *more))
 
 
 def digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -282,7 +282,7 @@ def digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.select("doc_id", text).mapInArrow(common.trimmed(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
