@@ -312,3 +312,67 @@ def test_orc_tokens(spark, docs, empty, tmp_path):
     parts = list(" \n\t'sret.,019ßÉΣİ日̸\xa0\x85<>|😀") + [" "] * 5 + ["'re", "<|endoftext|>"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(3000)]
     assert [np.frombuffer(b, np.int32).tolist() for b in coder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_language_stage_lets_the_model_decide(spark, docs):
+    odd = docs.where("doc_id = 1").selectExpr("cast(900 as long) as doc_id", "repeat('漢字仮名交文', 20) as text", "cast(null as string) as lang", "source", "n_chars", "score")
+    kept = {r.doc_id for r in langid.stage(spark, docs.unionByName(odd), "").collect()}
+    assert 900 not in kept and {k for k in range(30)} <= kept
+
+
+def test_stages_keep_columns_of_any_name_and_judge_rows_by_their_text(spark, docs, tmp_path):
+    write(tmp_path, "benchmark", spark.createDataFrame([(1, docs.where("doc_id = 5").first().text)], "item_id long, text string"))
+    wide = docs.selectExpr("*", *(f"'k' as `{c}`" for c in ("gone", "node", "text_hash", "found_id", "found_hash", "lang_pred", "rate", "__key", "__d", "__k", "__gone", "own", "id", "member", "component_id")))
+    for stage in (langid.stage, jaccard.stage, decontamination.stage, secret_crf.stage):
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns and all(r.gone == r["__key"] == r.rate == r.id == "k" for r in out.collect())
+    assert decontamination.stage(spark, wide, str(tmp_path)).where("doc_id = 5").count() == 0
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "other words stand here all alone"), (3, "x y z u v w"), (3, "x y z u v w"), (3, "x y z u v w"), (None, "a b c d e f"), (4, None), (4, None)]
+    left = jaccard.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "other words stand here all alone"), (3, "x y z u v w"), (4, ""), (4, "")]
+
+
+def test_jaccard_lists_in_blocks(spark, monkeypatch):
+    rnd = random.Random(12)
+    base, rows = [str(rnd.randrange(10**6)) for _ in range(60)], []
+    for k in range(90):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 5)):
+            words[rnd.randrange(60)] = str(rnd.randrange(10**6)) if rnd.random() < 0.3 else str(rnd.randrange(9))
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 3
+    for block, light in ((7, 10**9), (2048, 10**9), (7, 0), (7, 50)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "boundary", lambda _, light=light: light)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == want
+
+
+def test_suffix_dedup_deals_hot_keys_out(spark):
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(70))
+    rows = [(k, "".join(rnd.choice("xyz") for _ in range(60)) + passage + "".join(rnd.choice("uvw") for _ in range(60))) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shared = suffix_dedup.shared_anchors(docs, 10**4)
+    out = [{r.doc_id: (r.lo, r.hi) for r in suffix_dedup.repeated_spans(docs, shared, 10**4, *limits).collect()} for limits in ((64 << 20, 20_000), (500, 3))]
+    assert out[0] == out[1] and len(out[0]) == 79
+
+
+def test_neighbours_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_NUMBERS", 2000)
+    rnd = np.random.default_rng(2)
+    v = rnd.normal(size=(1500, 6)) * 10.0 ** rnd.integers(-180, 180, size=(1500, 1))
+    table = hnsw.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    index = hnsw.build_index(table, 5)
+    assert index.count() >= 4
+    got = hnsw.search(index, table.where("vec_id % 50 = 0"), 5).collect()
+    w = v / np.abs(v).max(axis=1, keepdims=True)
+    unit = w / np.linalg.norm(w, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 1500, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+        assert all(abs(r.score - s[r.vec_id]) < 1e-9 for r in got if r.query_id == q)
+    assert hit >= 0.9 * 150 and len(got) == 150
