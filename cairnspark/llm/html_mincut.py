@@ -10,8 +10,12 @@ cut, found by maximum flow, labels all blocks at once.
 Text that is no article by its element (scripts, styles, menus, forms, ...) is
 left out or tied to the boilerplate terminal.
 
+What elements and names tell holds for all that they enclose, but not for
+html, body and the elements around the article, which are layout.
+
 Defined results: a null or empty page, and one without content, has the empty
-text; markup need not be well formed; pages are judged one by one, so repeated
+text; a tag, comment or script that never ends takes the rest of the page;
+markup need not be well formed; pages are judged one by one, so repeated
 or null ids and other columns make no difference.
 """
 
@@ -29,19 +33,26 @@ from pyspark.sql import types as T
 from . import common
 
 #: Elements without visible text, void elements, elements that start a block, and elements that never hold an article.
-UNSEEN = "script style noscript template textarea title iframe object svg math canvas audio video datalist"
+UNSEEN = frozenset("script style noscript template textarea title iframe object svg math canvas audio video datalist".split())
+SPACED = frozenset("iframe object svg video audio canvas title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("nav footer aside form button select option menu dialog label input search head fieldset".split())
 CONTENT = frozenset("article main".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
-#: Words in class, id or role that tell what a part is for.
-BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|foot\w*|header|masthead|comment\w*|disqus\w*|respon[ds]\w*|repl(?:y|ies)|share\w*|social\w*|related\w*|recommend\w*|newsletter\w*|subscri\w*|signup|login|search\w*|pag(?:er|ination)|copyright|legal|disclaimer|complementary|contentinfo|navigation|form\w*|skip\w*|tags?|toolbar)(?:$|[\s_-])", re.I)
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content\w*|post|story|entry|main|body|text)(?:$|[\s_-])", re.I)
-
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(UNSEEN.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Parts of class, id or role names that tell what an element is for. Loose ones tell nothing beside a good one, as in ``entry-header``.
+FIRM = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|popup|modal|overlay|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|foot\w*|masthead|comment\w*|disqus\w*|respon[ds]\w*|repl(?:y|ies)|related\w*|recommend\w*|newsletter\w*|subscri\w*|signup|login|search\w*|pag(?:er|ination)|copyright|legal|disclaimer|complementary|contentinfo|skip\w*|toolbar", re.I)
+LOOSE = re.compile(r"header|share\w*|social\w*|tags?|form\w*|notice\w*|alert", re.I)
+GOOD = re.compile(r"article\w*|content\w*|post|story|entry|main|body|text", re.I)
+#: Names of states and layouts, which tell of the page and not of the element.
+STATES = re.compile(r"(?:no|not|has|with|without|is|js)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|visible|on|off|layout)", re.I)
+
+OPENING = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+TAG_END = re.compile(r"[\"'>]")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+ENDS = {name: re.compile(rf"</{name}(?![a-zA-Z0-9:-])[^>]*>?", re.I) for name in UNSEEN}
+CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 STOPS = re.compile(r"[.!?…。](?:\s|$)")
 
 #: Weights of the classifier's features, and of the two kinds of smoothness edges.
@@ -51,95 +62,205 @@ TIED = 1e6
 
 
 class Block:
-    __slots__ = ("parts", "links", "in_link", "path", "never", "bad", "good", "inside", "tag", "text")
-
-    def __init__(self, path, never, bad, good, inside, tag):
-        self.parts, self.links = [], 0
-        self.path, self.never, self.bad, self.good, self.inside, self.tag = path, never, bad, good, inside, tag
-
-
-def blocks_of(page: str) -> tuple[list[Block], bool]:
-    """The page's blocks of text in order, and whether it has an element for its content."""
+    __slots__ = ("parts", "links", "element", "tag", "text", "never", "bad", "good", "inside")
+
+    def __init__(self, element: int, tag: str):
+        self.parts, self.links, self.element, self.tag = [], 0, element, tag
+
+
+class Tree:
+    """The elements of a page: parent, and of the elements that start a block the nearest one, its parent and its depth."""
+
+    def __init__(self):
+        self.parent, self.never, self.bad, self.good, self.content, self.header = [0], [False], [False], [False], [False], [False]
+        self.box, self.box_parent, self.depth = [0], [0], [0]
+
+    def add(self, parent: int, is_block: bool) -> int:
+        k = len(self.parent)
+        self.parent.append(parent)
+        for flags in (self.never, self.bad, self.good, self.content, self.header):
+            flags.append(False)
+        box = self.box[parent]
+        self.box.append(k if is_block else box)
+        self.box_parent.append(box)
+        self.depth.append(self.depth[parent] + is_block)
+        return k
+
+    def distance(self, a: int, b: int) -> int:
+        """Steps between the boxes of two elements."""
+        a, b, steps = self.box[a], self.box[b], 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a, steps = self.box_parent[a], steps + 1
+        return steps
+
+
+def tag_at(page: str, at: int) -> tuple[str, str, int] | None:
+    """Name, attributes and end of the tag at a place; None if no tag starts there, an empty name if it never ends."""
+    m = OPENING.match(page, at)
+    if not m:
+        return None
+    pos = m.end()
+    while e := TAG_END.search(page, pos):
+        if e[0] == ">":
+            return m[1].lower(), page[m.end() : e.start()], e.end()
+        pos = e.end()
+        if page[max(m.end(), e.start() - 64) : e.start()].rstrip().endswith("="):  # a quote elsewhere opens no value
+            pos = page.find(e[0], pos) + 1
+            if not pos:
+                break
+    return "", "", len(page)
+
+
+def told_by(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes hide it, and whether its names are bad and good ones."""
+    hidden = bad = good = False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                if STATES.fullmatch(token):
+                    continue
+                parts = re.split(r"[-_]+", CAMEL.sub(r"\1-\2", token))
+                fine = any(map(GOOD.fullmatch, parts))
+                wrong = any(map(FIRM.fullmatch, parts)) or (not fine and any(map(LOOSE.fullmatch, parts)))
+                bad, good = bad or wrong, good or (fine and not wrong)
+        elif name == "hidden":
+            hidden = True
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif name == "style":
+            hidden = hidden or bool(NO_DISPLAY.search(value))
+    return hidden, bad, good
+
+
+def blocks_of(page: str) -> tuple[list[Block], bool, Tree]:
+    """The page's blocks of text in order, and whether it has an element for its content.
+
+    One pass over the page; each step costs what it reads, opens or closes.
+    """
     out: list[Block] = []
-    # each open element: name, path of block numbers, never, bad, good, inside
-    stack = [("", (), False, False, False, False)]
-    block, links, serial, at, has_content, lower = None, 0, 0, 0, False, ""
+    tree = Tree()
+    # each open element: name, element, name of its box, depth of its box in the stack, links around it
+    stack = [("", 0, "", 0, 0)]
+    open_at: dict[str, list[int]] = {}
+    block, first, heading, at, n = None, 0, 0, 0, len(page)
 
     def text(raw: str) -> None:
         nonlocal block
         if block is None:
             if not raw or raw.isspace():
                 return
-            _, path, never, bad, good, inside = stack[-1]
-            name = next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")
-            block = Block(path, never, bad, good, inside, name)
+            block = Block(stack[-1][1], stack[-1][2])
             out.append(block)
         block.parts.append(raw)
-        if links:
+        if stack[-1][4]:
             block.links += len(raw)
 
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        lower = m[3].lower() if m[3] else ""
-        if not lower:
-            if m[1] and m[1].lower() in ("iframe", "object", "svg", "video", "audio", "canvas", "title"):
+    def shut(depth: int) -> None:
+        for name, *_ in stack[depth:]:
+            open_at[name].pop()
+        del stack[depth:]
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            text(page[at:])
+            break
+        if page.startswith("<!--", start):
+            found = None
+            end = page.find("-->", start + 4) + 3
+        elif page.startswith("<![CDATA[", start):
+            found = None
+            end = page.find("]]>", start + 9) + 3
+        elif page.startswith(("<!", "<?"), start):
+            found = None
+            end = page.find(">", start + 2) + 1
+        elif found := tag_at(page, start):
+            end = found[2]
+        else:  # no markup
+            text(page[at : start + 1])
+            at = start + 1
+            continue
+        text(page[at:start])
+        at = end if end > start else n
+        if not found or not found[0]:
+            continue
+        lower, attributes, _ = found
+        if page[start + 1] != "/" and lower in UNSEEN:
+            if lower in SPACED:
                 text(" ")
+            if not attributes.endswith("/"):
+                over = ENDS[lower].search(page, at)
+                at = over.end() if over else n
             continue
         if lower in VOID:
             if lower == "hr":
                 block = None
-            else:
-                text(" ") if lower == "br" else None
+            elif lower == "br":
+                text(" ")
             continue
         is_block = lower in BLOCKS
         if is_block:
             block = None
-        if m[2]:
-            depth = len(stack) - 1
-            while depth and stack[depth][0] != lower:
-                if lower not in BLOCKS and stack[depth][0] in BLOCKS:
-                    depth = 0
-                    break
-                depth -= 1
-            if depth:
-                links -= sum(s[0] == "a" for s in stack[depth:])
-                del stack[depth:]
+        if page[start + 1] == "/":
+            depths = open_at.get(lower)
+            if depths and (is_block or depths[-1] > stack[-1][3]):
+                shut(depths[-1])
             continue
         if lower in CLOSES:
-            depth, shut = len(stack) - 1, CLOSES[lower]
-            while depth and (stack[depth][0] not in BLOCKS or stack[depth][0] in shut):
-                if stack[depth][0] in shut:
-                    links -= sum(s[0] == "a" for s in stack[depth:])
-                    del stack[depth:]
-                depth -= 1
-        _, path, never, bad, good, inside = stack[-1]
+            while stack[-1][3] and stack[stack[-1][3]][0] in CLOSES[lower]:
+                shut(stack[-1][3])
+        _, parent, box, box_depth, links = stack[-1]
+        k = tree.add(parent, is_block)
         if lower in CONTENT:
-            inside = has_content = True
-        attributes = m[4]
-        if attributes and not attributes.isspace():
-            for name in NAMES.findall(attributes):
-                value = name[0] or name[1] or name[2]
-                bad = bad or bool(BAD_NAMES.search(value))
-                good = good or bool(GOOD_NAMES.search(value))
-            never = never or bool(HIDDEN.search(attributes))
-        if lower == "header" and not inside:
-            never = True
-        if is_block:
-            serial += 1
-            path = (*path, serial)
+            tree.content[k] = True
+            first = first or k
+        elif lower == "h1":
+            heading = heading or k
+        hidden, bad, good = told_by(attributes) if attributes and not attributes.isspace() and lower not in ("html", "body") else (False, False, False)
+        tree.never[k], tree.header[k], tree.bad[k], tree.good[k] = hidden or lower in NEVER, lower == "header", bad, good
         if not attributes.endswith("/"):
-            links += lower == "a"
-            stack.append((lower, path, never or lower in NEVER, bad, good, inside))
-    if at < len(page):
-        text(page[at:])
+            open_at.setdefault(lower, []).append(len(stack))
+            stack.append((lower, k, lower if is_block else box, len(stack) if is_block else box_depth, links + (lower == "a")))
     kept = []
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
         if b.text:
             kept.append(b)
-    return kept, has_content
+    judge(tree, kept, first or heading)
+    return kept, first > 0, tree
+
+
+def judge(tree: Tree, blocks: list[Block], core: int) -> None:
+    """Gives blocks what the elements around them tell.
+
+    Elements around the core, the first element for content or else the first
+    main heading, are layout and tell nothing; without a core those are that
+    hold more than half of the text.
+    """
+    n = len(tree.parent)
+    layout = [False] * n
+    if core:
+        k = tree.parent[core]
+        while k:
+            layout[k], k = True, tree.parent[k]
+    else:
+        size = [0] * n
+        for b in blocks:
+            size[b.element] += len(b.text)
+        for k in range(n - 1, 0, -1):
+            size[tree.parent[k]] += size[k]
+        layout = [2 * s > size[0] for s in size]
+    never, bad, good, inside = [False] * n, [False] * n, [False] * n, [False] * n
+    for k in range(1, n):  # parents come first
+        p = tree.parent[k]
+        own = not layout[k]
+        never[k] = never[p] or (own and (tree.never[k] or (tree.header[k] and not inside[p])))
+        bad[k], good[k], inside[k] = bad[p] or (own and tree.bad[k]), good[p] or tree.good[k], inside[p] or tree.content[k]
+    for b in blocks:
+        b.never, b.bad, b.good, b.inside = never[b.element], bad[b.element], good[b.element], inside[b.element]
 
 
 def score(b: Block, has_content: bool) -> float:
@@ -160,19 +281,15 @@ def score(b: Block, has_content: bool) -> float:
     return s
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def edges_of(blocks: list[Block], tree: Tree) -> list[tuple[int, int, float]]:
     """Smoothness edges between neighbours in the text and neighbours under one parent."""
     out, last = [], {}
     for k, b in enumerate(blocks):
         if k:
-            a = blocks[k - 1].path
-            shared = next((i for i, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            out.append((k - 1, k, SMOOTH_NEXT / (1 + len(a) + len(b.path) - 2 * shared)))
-        parent = b.path[:-1]
-        if parent in last and last[parent] != k - 1:
+            out.append((k - 1, k, SMOOTH_NEXT / (1 + tree.distance(blocks[k - 1].element, b.element))))
+        parent = tree.box_parent[tree.box[b.element]]
+        if parent in last:
             out.append((last[parent], k, SMOOTH_SIBLING / 3))
-        elif parent in last:
-            out.append((k - 1, k, SMOOTH_SIBLING / 3))
         last[parent] = k
     return out
 
@@ -246,7 +363,7 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks, has_content = blocks_of(page)
+    blocks, has_content, tree = blocks_of(page)
     source, sink = [], []
     for b in blocks:
         if b.never:
@@ -256,21 +373,22 @@ def main_text(page: str | None) -> str:
         x = max(-30.0, min(30.0, score(b, has_content)))
         source.append(math.log1p(math.exp(x)))  # the cost of calling it boilerplate
         sink.append(math.log1p(math.exp(-x)))
-    keep = minimum_cut(source, sink, edges_of(blocks))
+    keep = minimum_cut(source, sink, edges_of(blocks, tree))
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, column: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """pages with the main text of each whole page and its number of code points, without the page itself."""
+    """pages with the main text of each whole page and its number of code points, without the page itself; other columns named text or n_chars give way."""
     common.tune(pages.sparkSession)
-    kept = [f for f in pages.schema.fields if f.name != column]
+    new = [T.StructField(text, T.StringType(), False), T.StructField(n_chars, T.LongType(), False)]
+    kept = [f for f in pages.schema.fields if f.name.lower() not in {column.lower(), text.lower(), n_chars.lower()}]
 
     def run(batches):
         for b in batches:
             texts = [main_text(p) for p in b.column(b.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in kept), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*(f.name for f in kept), text, n_chars])
 
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(text, T.StringType(), False), T.StructField(n_chars, T.LongType(), False)]))
+    return pages.mapInArrow(common.trimmed(run), T.StructType([*kept, *new]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -376,3 +376,93 @@ def test_neighbours_over_several_shards(spark, monkeypatch):
         hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
         assert all(abs(r.score - s[r.vec_id]) < 1e-9 for r in got if r.query_id == q)
     assert hit >= 0.9 * 150 and len(got) == 150
+
+
+ARTICLE = "<h1>A heading of some words</h1><p>The first paragraph tells of a river, and of the old stone bridge over it.</p><p>The second one is long enough too, and it ends the story.</p>"
+ARTICLE_TEXT = "A heading of some words\nThe first paragraph tells of a river, and of the old stone bridge over it.\nThe second one is long enough too, and it ends the story."
+AROUND = '<nav class="menu"><a href="/">Home</a> <a href="/b">Blog</a></nav>{}<div class="comments"><p>I do not think so at all.</p></div><footer>Copyright 2020</footer>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html><body class="no-sidebar">' + AROUND.format(f"<article>{ARTICLE}</article>") + "</body></html>",
+        '<html><body class="comments-open">' + AROUND.format(f"<article>{ARTICLE}</article>"),
+        '<body class="home sidebar">' + AROUND.format(f'<div class="sidebar-left"><article>{ARTICLE}</article></div>'),
+        '<body><form id="aspnetForm" action="x">' + AROUND.format(f"<article>{ARTICLE}</article>") + "</form>",
+        "<body>" + AROUND.format("<article><div class='entry-header'>" + ARTICLE.replace("</h1>", "</h1></div><div class='post-share-body'>") + "</div></article>"),
+        "<body>" + AROUND.format("<article>" + ARTICLE.replace("<p>The second", '<p title="a hidden gem here">The second') + "<p hidden>Not to be seen by anyone.</p><p style='color:red; display : none'>Nor this one here.</p></article>"),
+        "<body>" + AROUND.format(f"<article>{ARTICLE}<form><p>Write to us about it, please.</p><input name=q></form></article>"),
+        '<body><div id="page" class="hasSidebar">' + AROUND.format(f"<main>{ARTICLE}</main>") + "</div>",
+    ],
+)
+def test_html_names_of_layouts(page):
+    assert html_mincut.main_text(page) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", "<script>", "<div>", "<div>x", "<ul><li>ab cd.", "<", "<a b=\"", "<!--", "<p>a, b. ", "<b>x<i></b>"])
+def test_html_of_a_megabyte_takes_seconds(part):
+    import time
+
+    began = time.process_time()
+    html_mincut.main_text(part * ((1 << 20) // len(part)))
+    assert time.process_time() - began < 8  # about one on an idle core
+
+
+def test_html_query_against_brute_force(spark, tmp_path):
+    """Pages of known parts: the query gives the parts of the article of each page, whatever stands around them."""
+    rnd = random.Random(6)
+    words = "river stone bridge old green tea tall trees quiet wizard brown fox lazy dog tower".split()
+    sentence = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(8, 20))).capitalize() + "."
+    rows, want = [(0, "u", None), (1, "u", "")], {0: "", 1: ""}
+    for k in range(2, 60):
+        blocks = [sentence() for _ in range(rnd.randint(2, 6))]
+        body = "".join(f"<p>{b.replace(' ', rnd.choice((' ', chr(10), '  ')), 1)}</p>" for b in blocks)
+        rows.append((k, "u", "<html><head><title>x</title><style>p{}</style></head><body>" + AROUND.format(f"<header>Site</header><article>{body}</article><aside>{sentence()}</aside>")))
+        want[k] = "\n".join(blocks)
+    got = html_mincut.query(spark, write(tmp_path, "pages", spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert {r.page_id: (r.text, r.n_chars) for r in got} == {k: (t, len(t)) for k, t in want.items()}
+    assert html_mincut.query(spark, write(tmp_path, "pages", spark.createDataFrame(rows[:0], "page_id long, url string, html string"))).count() == 0
+
+
+def test_warc_query_against_brute_force(spark, tmp_path):
+    import base64
+
+    rnd = random.Random(3)
+    rows = [(k, f"u{k}", rnd.choice([None, "", "é" * 40, "page a", "page b " * 3000, f"own {k}"])) for k in rnd.sample(range(200), 80)]
+    first = {}
+    for i, _, t in sorted(rows):
+        first.setdefault((t or "").encode(), i)
+    got = warc_zip.query(spark, write(tmp_path, "pages", spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    want = {i: (len(b := (t or "").encode()), base64.b32encode(hashlib.sha1(b).digest()).decode(), *(("response", None) if first[b] == i else ("revisit", first[b]))) for i, _, t in rows}
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    rnd = random.Random(9)
+    bag = {"en": "the of and to in is you that it he was for on are".split(), "de": "der die und in den von zu das mit sich des auf für ist".split()}
+    rows = [(k, lang and " ".join(rnd.choice(bag[lang]) for _ in range(30)), lang if k % 7 else None) for k, lang in ((k, rnd.choice(["en", "de", "en", None])) for k in range(120))]
+    path = write(tmp_path, "documents", spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.query(spark, path).collect()}
+    model = langid.PpmModel.fit(sorted((lang, t.encode()) for k, t, lang in rows if t and lang and zlib.crc32(str(k).encode()) % 5))
+    for k, t, _ in rows:
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0)
+        if not t:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+            continue
+        bits = model.code_lengths(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+        share = 2.0 ** (bits.min() - bits)
+        assert got[k].lang_pred == model.langs[int(bits.argmin())] and got[k].score == pytest.approx(1 / share.sum())
+
+
+def test_secret_query_against_brute_force(spark, tmp_path):
+    rnd = random.Random(10)
+    lines = [t for t, _ in secret_crf.generated_lines(60, 3)] + ["password = hunter22 PASSWD:'abcdefgh' token=short", "0123456789abcdef" * 3 + "AKIA" + "A" * 12, "", None]
+    rows = [(k, t if t is None else " ".join([t, *(rnd.choice(lines[:60]) for _ in range(3))])) for k, t in enumerate(lines)]
+    got = {r.doc_id: r for r in secret_crf.query(spark, write(tmp_path, "documents", spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    kinds = (("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), ("access", "(AKIA[A-Z0-9]+)", 16), ("hex", "([0-9a-f]+)", 32))
+    for k, t in rows:
+        spans = sorted((m.start(), j, m.end()) for j, (_, pattern, least) in enumerate(kinds) for m in re.finditer(pattern, t or "") if len(m[1]) >= least)
+        base = ",".join(f"{kinds[j][0]}:{a}:{z}" for a, j, z in spans)
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(s[1] == j for s in spans) for j in range(3)]
+        assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) - {""} <= set(got[k].spans.split(","))
