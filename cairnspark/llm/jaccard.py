@@ -82,7 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, k: int = WORDS, slice_bytes: int = 2 << 20):
+def shingle_sets(texts: pa.Array, k: int = WORDS, slice_bytes: int = 1 << 19):
     """Yields the sorted distinct shingle hashes of each whole text."""
     data, offsets = common.texts_of(texts)
     first, n = 0, len(offsets) - 1
@@ -139,7 +139,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 two.append(int(mix(s + np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, checked, one, two))], names=["doc_id", "n", "checked", "one", "two"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, checked long, one long, two long")
+    return docs.select("doc_id", "text").mapInArrow(common.trimmed(run), "doc_id long, n long, checked long, one long, two long")
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
             two = [int(mix(s + np.uint64(_BASE)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], one, two))], names=["doc_id", "text", "n", "one", "two"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n long, one long, two long")
+    return docs.select("doc_id", "text").mapInArrow(common.trimmed(run), "doc_id long, text string, n long, one long, two long")
 
 
 def numbered(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def postings(sets: DataFrame) -> DataFrame:
             sizes = [len(x) for x in first]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), *(pa.array(np.repeat(b.column(k).to_numpy(), sizes)) for k in (0, 1)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))], names=["sig", "doc_id", "n", "pos"])
 
-    return sets.select("doc_id", "n", "first").mapInArrow(run, "sig long, doc_id long, n long, pos int")
+    return sets.select("doc_id", "n", "first").mapInArrow(common.trimmed(run), "sig long, doc_id long, n long, pos int")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -355,7 +355,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(DENOMINATOR * shared >= NUMERATOR * (na + nb - shared))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def open_lists(rooted: DataFrame) -> DataFrame:

@@ -33,8 +33,9 @@ ORDER = 3
 #: The classifier is fitted on a bounded sample: whole texts of so many labelled rows for each language.
 SAMPLE_PER_LANG = 400
 SLICE = 1 << 20
-#: Bits a byte of a coder that knows no language, and how many more than its code a language's may take.
-UNIFORM, MARGIN = 8.0, 32.0
+#: A text is in no language if its shortest code takes more than FOREIGN bits a byte (8 are those of a coder that
+#: knows nothing) and, so that a short text may hold a secret or two, MARGIN bits. The most in check_l is 9.1 a byte.
+FOREIGN, MARGIN = 11.0, 256.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -196,9 +197,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in no language; others keep their columns.
 
-    Those are the texts without a letter, and the ones whose shortest code of
-    all languages is MARGIN bits longer than that of a coder without any.
+    Those are the texts without a letter, and the ones with too long a code in
+    every language, by FOREIGN and MARGIN.
     """
     pred, score, rate = (common.free_name(docs, c) for c in ("lang_pred", "score", "rate"))
     told = identify(docs, fit(docs), pred=pred, score=score, rate=rate)
-    return told.where((F.col(pred) != "und") & ((F.col(rate) - UNIFORM) * F.octet_length("text") < MARGIN)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return told.where((F.col(pred) != "und") & ((F.col(rate) - FOREIGN) * F.octet_length("text") < MARGIN)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,7 +11,7 @@ The text is cut where no piece can cross: before each run of word marks, and
 around line ends if no piece holds one. Runs of several word marks are merged
 directly, as their pieces all have the same score and order then depends on
 the place. Short units are remembered, so each frequent word is encoded once
-in a worker.
+in a task.
 
 Defined results: null and empty texts have no ids; characters without a piece
 become byte pieces; rows are encoded one by one, so repeated ids, null ids and
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import common
 
 MARK = "▁"
-#: Units that a worker remembers, and the longest that it does.
+#: Units that a task remembers, and the longest that it does.
 CACHE_UNITS, CACHE_CHARS = 250_000, 48
 #: Punctuation before which units may end, if the vocabulary allows it.
 CUTS = ",.;:!?"
@@ -100,6 +100,12 @@ class BacktrackingBpe:
         odd = re.escape("".join(sorted({p[i] for p in self.ids for i in range(len(p) - 1) if p[i + 1] in CUTS and letter.match(p[i])})))
         self.cut = re.compile(rf"\n|  +[^ \n]*| ?[^\W\d_{odd}]+(?=[ \n{re.escape(CUTS)}]|\Z)| ?[^ \n]+| ")
 
+    def forget(self) -> None:
+        """Drops what was remembered of texts, so that an idle worker holds little."""
+        self.units.clear()
+        self.units.older = {}
+        self.pairs.clear()
+
     def merge(self, text: str) -> list[str]:
         """The pieces by merging neighbours in order of score, then place."""
         n, scores = len(text), self.scores
@@ -259,6 +265,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
             if decoded:
                 new.append(pa.array([bpe.decode(c) for c in coded], pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(f.name for f in more)])
+        bpe.forget()
 
     return docs.mapInArrow(common.trimmed(run), common.with_columns(docs.schema, *more))
 
@@ -280,6 +287,7 @@ def digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 id_hashes.append(hashlib.sha256(",".join(map(number, ids)).encode()).hexdigest())
                 text_hashes.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return docs.select("doc_id", text).mapInArrow(common.trimmed(run), schema)

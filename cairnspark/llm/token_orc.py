@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = END_
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
     options = {"compression": "zstd", "orc.stripe.size": str(STRIPE_BYTES), "orc.create.index": "true", "orc.row.index.stride": str(INDEX_ROWS), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
-    rows.mapInArrow(run, schema).write.options(**options).orc(path)
+    rows.mapInArrow(common.trimmed(run), schema).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -160,7 +160,7 @@ def summarize(tokens: DataFrame) -> DataFrame:
 
     schema = T.StructType([tokens.schema["doc_id"], tokens.schema["part"], tokens.schema["before"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     common.tune(tokens.sparkSession)
-    rows = tokens.select("doc_id", "part", "before", "ids").mapInArrow(run, schema)
+    rows = tokens.select("doc_id", "part", "before", "ids").mapInArrow(common.trimmed(run), schema)
     ends = tokens.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("size"))  # one row for each part
     starts = ends.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("first"))
     return rows.join(starts, "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -187,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = REVISIT_FROM) ->
         for path, n, size in done:
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [size]})
 
-    return common.stored(revisits(pages, least).mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return common.stored(revisits(pages, least).mapInArrow(common.trimmed(run), "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
