@@ -86,7 +86,7 @@ class PositionalIndex:
         ranked = ranked.where(F.col("seen") == F.col("distinct")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rarest)
         terms = common.stored(ranked.select("win", "term", "offset", "rank", F.least("distinct", F.lit(rarest)).alias("lists"), "words"), "rarest-terms")
         n_terms = terms.count()
-        wanted = terms.select("term").distinct().union(docs.sparkSession.createDataFrame([(LAST,)], "term string"))
+        wanted = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(LAST).alias("term")))
         rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("words"))
         rows = rows.withColumn("n_words", word_count(F.col("words")))
         tokens = rows.select("doc_id", "text_key", "n_words", "words", F.posexplode(F.array_append("words", F.lit(LAST))).alias("pos", "word")).withColumn("term", F.lower("word"))

@@ -296,37 +296,28 @@ def rarity_ordered(docs: DataFrame, tokens: int) -> DataFrame:
         for some in common.keyed_batches(batches):
             owners, tokens, _ = _gathered([some], [np.int64, np.uint64, np.int32])
             _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            often = counts[inverse]
-            kept = often > 1
-            owners, tokens, often = owners[kept], tokens[kept], often[kept].astype(np.int32)
+            often = counts[inverse].astype(np.int32)
             yield _batch([(k, owners[at].tobytes(), tokens[at].tobytes(), often[at].tobytes()) for k, at in _split(_by_owner(owners, n_buckets), n_buckets)], names)
 
     def order(batches):
         owners, tokens, often = _gathered(batches, [np.int64, np.uint64, np.int32])
         by = np.lexsort((tokens, often, owners))
-        owners, tokens = owners[by], tokens[by]
+        owners, tokens, often = owners[by], tokens[by], often[by]
         ids, starts = np.unique(owners, return_index=True)
-        cuts = np.append(starts, len(owners)).tolist()
-        for k in range(0, len(ids), 512):
-            some = [tokens[cuts[i] : cuts[i + 1]].tobytes() for i in range(k, min(k + 512, len(ids)))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 512]), pa.array(some, pa.binary())], names=["doc_id", "rare_first"])
-
-    def firsts(batches):
-        for b in batches:
-            out = []
-            for doc_id, n, rare in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rare = np.frombuffer(rare, np.uint64)
-                left = missing_at_most(n) + 2 - (n - len(rare))  # those that nobody shares come first
-                if left > 1 and len(rare):
-                    out.append((doc_id, n, np.sort(rare).tobytes(), rare[:left].tobytes()))
-            if out:
+        cuts, alone, out = np.append(starts, len(owners)).tolist(), np.add.reduceat(often == 1, starts).tolist() if len(starts) else [], []
+        for k, doc_id in enumerate(ids.tolist()):
+            n, rare = cuts[k + 1] - cuts[k], tokens[cuts[k] + alone[k] : cuts[k + 1]]
+            left = missing_at_most(n) + 2 - alone[k]  # those that nobody shares come first
+            if left > 1 and len(rare):
+                out.append((doc_id, n, np.sort(rare).tobytes(), rare[:left].tobytes()))
+            if len(out) == 512 or (out and k + 1 == len(ids)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n", "tokens", "first"])
+                out = []
 
     kind = "bucket int, owners binary, tokens binary, often binary"
     packed = docs.select("doc_id", "text").mapInArrow(common.trimmed(pack), kind).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    counted = packed.mapInArrow(common.trimmed(count), kind).repartition(n_buckets, "bucket").mapInArrow(common.trimmed(order), "doc_id long, rare_first binary")
-    sized = counted.join(docs.select("doc_id", "n").distinct(), "doc_id").select("doc_id", "n", "rare_first")
-    return sized.mapInArrow(common.trimmed(firsts), "doc_id long, n long, tokens binary, first binary")
+    counted = packed.mapInArrow(common.trimmed(count), kind).repartition(n_buckets, "bucket")
+    return counted.mapInArrow(common.trimmed(order), "doc_id long, n long, tokens binary, first binary")
 
 
 def postings(sets: DataFrame) -> DataFrame:
