@@ -39,6 +39,11 @@ def utc_time(s: Column) -> Column:
     return F.when(s.rlike(RFC3339), F.coalesce(F.date_format(F.try_to_timestamp(s), "yyyy-MM-dd'T'HH:mm:ss'Z'"), s)).otherwise(s)
 
 
+def now_text(now: Column) -> Column:
+    """A timestamp as RFC 3339 text in UTC; the clock is given by the caller."""
+    return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def clock_time(ts: Column) -> Column:
     return F.date_format(ts, "h:mm a")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,36 @@ def new_errors(requests: DataFrame) -> DataFrame:
     return requests.withColumn("error", F.when(F.coalesce(trimmed(F.col("name")), F.lit("")) == "", "name is required").when(F.col("lat").try_cast("double").isNull() | F.col("lon").try_cast("double").isNull(), "invalid coordinates"))
 
 
+def with_time(points: DataFrame, now: str) -> DataFrame:
+    """points whose missing time is now (RFC 3339 in UTC)."""
+    return points.withColumn("time", F.coalesce(F.nullif(F.col("time"), F.lit("")), F.lit(now)))
+
+
+def upserted(points: DataFrame, rows: DataFrame) -> DataFrame:
+    """points with rows in place of those of the same ord, and the others of rows behind."""
+    return points.join(rows.select("ord"), "ord", "left_anti").unionByName(rows.select(*points.columns))
+
+
+def imported(points: DataFrame, files: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The list after an import of files (path, value), and its summary.
+
+    Copied files are parsed; their points follow those of the list, and the
+    whole is de-duplicated. The summary has count (points parsed), files and
+    skipped (numbers of files), and dedup_count (points in all).
+    """
+    from cairnspark.sources.gpx import parse_gpx
+
+    plan = import_plan(files.select("path"), existing)
+    parsed = parse_gpx(files.join(plan.where("state = 'copied'").select("path"), "path", "left_semi"))
+    both = points.select(F.lit(0).alias("rank"), F.lit("").alias("path"), F.col("ord").alias("pos"), "name", "lat", "lon")
+    both = both.unionByName(parsed.select(F.lit(1).alias("rank"), "path", F.col("pos").cast("long").alias("pos"), "name", "lat", "lon"))
+    merged = first_of_each(both, "rank", "path", "pos")
+    names = ("count", "files", "skipped", "dedup_count")
+    parts = [(parsed, {"count": F.count("*")}), (plan, {s: F.count_if(F.col("state") == t) for s, t in (("files", "copied"), ("skipped", "skipped"))}), (merged, {"dedup_count": F.count("*")})]
+    rows = [df.agg(*(counts.get(n, F.max(F.lit(0).cast("long"))).alias(n) for n in names)) for df, counts in parts]
+    return merged, reduce(DataFrame.unionByName, rows).agg(*(F.sum(n).alias(n) for n in names))
+
+
 def import_plan(files: DataFrame, existing: DataFrame) -> DataFrame:
     """path, base, state: the first file of each base name that is not there is copied, others are skipped."""
     from cairnspark.functions.scalars import base_name

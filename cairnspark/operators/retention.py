@@ -39,6 +39,12 @@ def counters(log: DataFrame) -> DataFrame:
     return log.agg(n("mem-hit", "disk-hit").alias("hits"), n("disk-hit").alias("disk_hits"), n("miss").alias("misses"), n("wait-hit").alias("waits"))
 
 
+def fetch_counters(log: DataFrame) -> DataFrame:
+    """Requests, hits, and of the misses those that were stored and those that failed (column failed)."""
+    miss = F.col("outcome") == "miss"
+    return log.agg(F.count("*").alias("n"), F.count_if(F.col("outcome").isin("mem-hit", "disk-hit")).alias("hits"), F.count_if(miss & ~F.col("failed")).alias("stored"), F.count_if(miss & F.col("failed")).alias("errors"))
+
+
 def shown_ttl(seconds: int) -> int:
     return -1 if seconds == 0 else seconds
 

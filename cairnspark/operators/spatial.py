@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions import mercator as M
-from cairnspark.operators.identity import LIST_TOLERANCE
+from cairnspark.operators.identity import LIST_TOLERANCE, matching
 
 
 def zoom_of(value) -> int:
@@ -77,6 +77,17 @@ def effective(points: DataFrame, filtered: DataFrame | None, bookmarks_only: boo
     return filtered if filtered is not None else points.where("bookmark") if bookmarks_only else points
 
 
+def clears_selection(show_all: Column, selected: Column) -> Column:
+    """Whether a selection (null: none) goes, as it is no bookmark and only those are shown."""
+    return F.coalesce(~show_all & ~selected, F.lit(False))
+
+
+def visible_selection(selected: DataFrame, model: DataFrame, tolerance: float = LIST_TOLERANCE) -> DataFrame:
+    """Selections that stay: transient ones, and those that match a row of the model that is no cluster."""
+    stays = matching(selected.where("not transient"), model.where(~is_cluster(F.col("type"), F.col("cnt"))), tolerance)
+    return selected.where("transient").unionByName(stays.select(*selected.columns))
+
+
 def sparse(points: DataFrame) -> DataFrame:
     """Zero elevations and empty texts as null."""
     empty = [c for c in ("time", "desc") if c in points.columns]

@@ -65,10 +65,31 @@ def search_url(server: str) -> Column:
     return F.concat(F.lit(server.rstrip("/") + "/search?format=json"), what, flags, F.when(F.col("limit") > 0, F.concat(F.lit("&limit="), F.col("limit").cast("string"))).otherwise(""))
 
 
+ALL_FLAGS = ("polygon_geojson", "polygon_kml", "polygon_svg", "polygon_text")
+
+
+def uses_fields() -> Column:
+    """Whether a request has one of the structured fields."""
+    return F.concat(*(F.coalesce(F.col(c), F.lit("")) for c in STRUCTURED)) != ""
+
+
+def full_search_url(server: str) -> tuple[Column, Column]:
+    """The whole search request, and the error: search_url() with accept_language, countrycodes, viewbox, email, exclude_place_ids and the polygon flags."""
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    part = lambda name, c, text=None: F.when(filled(c) if text is None else F.size(c) > 0, F.concat(F.lit(f"&{name}="), query_escape(F.col(c) if text is None else text))).otherwise("")
+    flag = lambda c: F.concat(F.lit(f"&{c}="), F.when(F.coalesce(F.col(c), F.lit(False)), "1").otherwise("0"))
+    error = F.lit("no server is set") if not server else F.when(~filled("q") & ~uses_fields(), "q or one of street, city, county, state, postalcode is needed")
+    what = F.when(filled("q"), part("q", "q")).otherwise(F.concat(*(part(c, c) for c in STRUCTURED)))
+    codes, ids = (F.array_join(c, ",") for c in ("countrycodes", "exclude_place_ids"))
+    limit = F.when(F.col("limit") > 0, F.concat(F.lit("&limit="), F.col("limit").cast("string"))).otherwise("")
+    url = F.concat(F.lit((server or "").rstrip("/") + "/search?format=json"), part("accept-language", "accept_language"), what, part("countrycodes", "countrycodes", codes), part("viewbox", "viewbox"), *map(flag, FLAGS), part("email", "email"), part("exclude_place_ids", "exclude_place_ids", ids), limit, *map(flag, ALL_FLAGS))
+    return F.when(error.isNull(), url), error
+
+
 def reverse_url(server: str) -> tuple[Column, Column]:
     """Reverse request, and the error, of columns osm_type, osm_id, lat, lon (text), zoom, address_details. The id is sent as it is."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    error = F.lit("Server is not set. Set via gominatim.SetServer(srv string)") if not server else F.when(~blank("osm_type") & ~F.col("osm_type").isin("N", "W", "R"), "OsmType must be 'N', 'W' or 'R'").when(blank("lat"), "Cannot search without a latitude. Set field Lat").when(blank("lon"), "Cannot search without a longitude. Set field Lon").when(~F.col("zoom").between(0, 18), F.concat(F.lit("Zoom must be within 0 and 18. "), F.col("zoom").cast("string"), F.lit(" is out of range")))
+    error = F.lit("no server is set") if not server else F.when(~blank("osm_type") & ~F.col("osm_type").isin("N", "W", "R"), "OsmType must be 'N', 'W' or 'R'").when(blank("lat"), "Cannot search without a latitude. Set field Lat").when(blank("lon"), "Cannot search without a longitude. Set field Lon").when(~F.col("zoom").between(0, 18), F.concat(F.lit("Zoom must be within 0 and 18. "), F.col("zoom").cast("string"), F.lit(" is out of range")))
     part = lambda name, c: F.when(blank(c), "").otherwise(F.concat(F.lit(f"&{name}="), F.col(c)))
     url = F.concat(F.lit(server.rstrip("/") + "/reverse?format=json"), part("osm_type", "osm_type"), part("osm_id", "osm_id"), part("lat", "lat"), part("lon", "lon"), F.lit("&zoom="), F.col("zoom").cast("string"), F.lit("&addressdetails="), F.when(F.coalesce("address_details", F.lit(False)), "1").otherwise("0"))
     return F.when(error.isNull(), url), error

@@ -26,6 +26,27 @@ def vocabulary(tags: DataFrame) -> DataFrame:
     return tags.select("tag").distinct()
 
 
+def listed(tags: DataFrame, emoji: bool = False) -> DataFrame:
+    """The vocabulary in order; with emoji unified, and with what enriches each tag."""
+    if not emoji:
+        return vocabulary(tags).orderBy(ascii_lower(F.col("tag")), "tag")
+    rows = unified(tags).select(G.enriched(F.col("tag")).alias("e")).select("e.*")
+    return rows.orderBy(F.lower("raw"), "raw")
+
+
+def client_vocabulary(tags: DataFrame) -> DataFrame:
+    """Distinct trimmed tags, by lower case."""
+    return tags.select(G.trimmed(F.col("tag")).alias("tag")).where("tag <> ''").distinct().orderBy(F.lower("tag"), "tag")
+
+
+def filter_of(points_with_tags: DataFrame, text: str) -> DataFrame | None:
+    """Points that a typed query filters to; None clears the filter (no tag query, an operator, quotes, or no match)."""
+    if not Q.is_tag_query(text) or Q.has_operator(text[4:]) or not text[4:].strip():
+        return None
+    hit = local_filter(points_with_tags, text[4:])
+    return None if hit.isEmpty() else hit
+
+
 def with_tags(points: DataFrame, tags: DataFrame, enrich: bool = False) -> DataFrame:
     """points with the ordered list of their tags (exact match; null without any)."""
     rows = unified(tags, *POINT) if enrich else tags
@@ -38,8 +59,9 @@ def with_tags(points: DataFrame, tags: DataFrame, enrich: bool = False) -> DataF
 
 def tag_query(text: str, tags: DataFrame, points: DataFrame, cap: int | None = CAP) -> DataFrame:
     """Tagged places that satisfy a query, by name; source tells what the first matching point is."""
-    mode, _ = Q.parse(text)
-    sets = tags.groupBy(*POINT).agg(F.collect_set(G.normalized(F.col("tag"))).alias("norms"))
+    mode, terms = Q.parse(text)
+    asked = tags.where(G.normalized(F.col("tag")).isin(terms)) if terms else tags  # others decide nothing
+    sets = asked.groupBy(*POINT).agg(F.collect_set(G.normalized(F.col("tag"))).alias("norms"))
     hits = sets.where(Q.matches(text, F.col("norms"))).drop("norms")
     pairs = hits.alias("h").join(points.alias("w"), near("h", "w", LIST_TOLERANCE), "left")
     found = pairs.groupBy(*(F.col(f"h.{c}") for c in POINT)).agg(F.min_by("w.bookmark", "w.ord").alias("own"))
