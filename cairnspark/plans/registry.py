@@ -452,10 +452,10 @@ METRES = f"2 * {S.EARTH_M}e0 * asin(sqrt(least(1e0, pow(sin((f.lat - w.la) * pi(
 STEPS = "SELECT device, epoch(ts) AS t, lat, lon, event_id, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) AS rn FROM location_fix"
 
 
-@query(f"""SELECT device, t, round(lat, 6) AS lat, round(lon, 6) AS lon, event_id FROM (WITH RECURSIVE f AS ({STEPS} WHERE NOT (lat = 0 AND lon = 0)), walk AS (SELECT device, rn, t, lat, lon, event_id, t AS lt, lat AS la, lon AS lo, true AS given FROM f WHERE rn = 1
+@query(f"""SELECT device, t, lat, lon, event_id FROM (WITH RECURSIVE f AS ({STEPS} WHERE NOT (lat = 0 AND lon = 0)), walk AS (SELECT device, rn, t, lat, lon, event_id, t AS lt, lat AS la, lon AS lo, true AS given FROM f WHERE rn = 1
     UNION ALL SELECT device, rn, t, lat, lon, event_id, CASE WHEN m THEN t ELSE lt END, CASE WHEN m THEN lat ELSE la END, CASE WHEN m THEN lon ELSE lo END, m FROM (SELECT f.*, w.lt, w.la, w.lo, f.t - w.lt >= 5 AND {METRES} >= 25 AS m FROM walk w JOIN f ON f.device = w.device AND f.rn = w.rn + 1)) SELECT * FROM walk WHERE given)""")
 def fix_threshold(s, d):
-    return L.available_now(L.thresholded(_stream(s, d)), "fix-threshold").select("device", "t", *r6("lat", "lon"), "event_id")
+    return L.available_now(L.thresholded(_stream(s, d)), "fix-threshold")
 
 
 @query(f"""SELECT k, event_id, t, round(emit_t, 3) AS emit_t FROM (WITH RECURSIVE f AS ({STEPS} ), walk AS (SELECT device AS k, rn, event_id, t, t AS emit_t FROM f WHERE rn = 1
