@@ -11,7 +11,7 @@ The text is cut where no piece can cross: before each run of word marks, and
 around line ends if no piece holds one. Runs of several word marks are merged
 directly, as their pieces all have the same score and order then depends on
 the place. Short units are remembered, so each frequent word is encoded once
-in a task.
+in a worker, or where encode() shares it with other stages, in a task.
 
 Defined results: null and empty texts have no ids; characters without a piece
 become byte pieces; rows are encoded one by one, so repeated ids, null ids and
@@ -287,7 +287,6 @@ def digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 id_hashes.append(hashlib.sha256(",".join(map(number, ids)).encode()).hexdigest())
                 text_hashes.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        bpe.forget()
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return docs.select("doc_id", text).mapInArrow(common.trimmed(run), schema)
