@@ -172,7 +172,7 @@ def build_index(table: DataFrame, k: int) -> DataFrame:
         return pa.table({"shard": [shard[1].as_py()], "dim": [v.shape[1]], "v": [v.tobytes()], "ids": [table.tobytes()], "entry": [graph.entry], "rows": [[r.tobytes() for r, _ in graph.layers]], "links": [[t.tobytes() for _, t in graph.layers]]}, schema=pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("v", pa.binary()), ("ids", pa.binary()), ("entry", pa.int64()), ("rows", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
 
     common.tune(spark)
-    return common.stored(dealt.groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, v binary, ids binary, entry long, rows array<binary>, links array<binary>"), "graphs")
+    return common.stored(dealt.repartitionByRange(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "shard int, dim int, v binary, ids binary, entry long, rows array<binary>, links array<binary>"), "graphs")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
