@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, hnsw, html_mincut, jaccard, langid, secret_crf, sentencepieces, suffix_dedup, token_orc, warc_zip
+from .sql import ORACLE_SQL  # noqa: F401  what SQL can express
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_min_cut": html_mincut.query,
@@ -20,5 +21,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharded_hnsw": hnsw.query,
     "op10_orc_token_output": token_orc.query,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from cairnspark.llm import decontamination, hnsw, html_mincut, jaccard, langid, secret_crf, sentencepieces, suffix_dedup, token_orc, warc_zip
+from cairnspark.llm.queries import ORACLE_SQL, QUERIES
 
 
 def write(tmp_path, name, df):
@@ -466,3 +468,27 @@ def test_secret_query_against_brute_force(spark, tmp_path):
         base = ",".join(f"{kinds[j][0]}:{a}:{z}" for a, j, z in spans)
         assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(s[1] == j for s in spans) for j in range(3)]
         assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) - {""} <= set(got[k].spans.split(","))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    df = QUERIES[name](spark, sf)
+    found = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(found, key=str)
+
+
+@pytest.mark.parametrize("name", ["op4_heavy_light_jaccard", "op5_bucket_pointer_dedup", "op7_positional_decontamination"])
+def test_query_against_sql_on_edge_rows(spark, docs, tmp_path, name):
+    """Null, empty, blank and long texts, copies and near copies, and items shorter than a window."""
+    write(tmp_path, "documents", docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    sf = write(tmp_path, "benchmark", spark.createDataFrame([(1, docs.where("doc_id = 5").first().text), (2, "one two"), (3, None), (4, ""), (2, "ONE two"), (10, "tea")], "item_id long, text string"))
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet/*.parquet'")
+    df = QUERIES[name](spark, sf)
+    found = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(found, key=str)
