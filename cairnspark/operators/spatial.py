@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions import mercator as M
-from cairnspark.operators.identity import LIST_TOLERANCE, matching
+from cairnspark.operators.identity import FILE_TOLERANCE, LIST_TOLERANCE, first_of_each, matching
 
 
 def zoom_of(value) -> int:
@@ -49,6 +49,13 @@ def viewport(points: DataFrame, lat1: float, lon1: float, lat2: float, lon2: flo
     return points.where(F.col("lat").between(min(lat1, lat2), max(lat1, lat2)) & F.col("lon").between(min(lon1, lon2), max(lon1, lon2)))
 
 
+def merged_viewport(points: DataFrame, lat1: float, lon1: float, lat2: float, lon2: float) -> DataFrame:
+    """The box of de-duplicated points; points of one key are within a millionth, so that others are dropped first."""
+    edge = 2 * FILE_TOLERANCE
+    around = viewport(points, max(lat1, lat2) + edge, min(lon1, lon2) - edge, min(lat1, lat2) - edge, max(lon1, lon2) + edge)
+    return viewport(first_of_each(around), lat1, lon1, lat2, lon2)
+
+
 def table_order(points: DataFrame) -> DataFrame:
     return points.orderBy(F.coalesce("name", F.lit("")), "lat", "lon", "ord")
 

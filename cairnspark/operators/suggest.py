@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions.scalars import query_escape, trimmed
+from cairnspark.operators.identity import numbered
 
 CAP = 8
+#: Positions that are numbered in one task.
+BLOCK = 100_000
 PAYLOAD = "array<struct<display_name:string,lat:double,lon:double,class:string,type:string>>"
 FLAGS = ("bounded", "polygon", "addressdetails")
 STRUCTURED = ("street", "city", "county", "state", "postalcode")
@@ -49,11 +52,9 @@ def recent(history: DataFrame, n=10) -> DataFrame:
 
 
 def recorded(queries: DataFrame, last_id: int) -> DataFrame:
-    """Trimmed queries with ids after last_id, in order of pos; blank ones are ignored."""
-    from pyspark.sql import Window
-
+    """Trimmed queries with ids after last_id, in order of pos (whole numbers); blank ones are ignored."""
     rows = queries.withColumn("query", trimmed(F.col("query"))).where("query <> ''")
-    return rows.select((F.row_number().over(Window.orderBy("pos")) + last_id).cast("bigint").alias("id"), "query")
+    return numbered(rows, F.floor(F.col("pos") / BLOCK), "pos").select((F.col("number") + last_id).cast("bigint").alias("id"), "query")
 
 
 def search_url(server: str) -> Column:

@@ -17,6 +17,7 @@ from cairnspark.operators import suggest as U
 from cairnspark.operators import tagging as A
 from cairnspark.plans import fixtures as X
 from cairnspark.sources import gpx
+from cairnspark.sources.shared import shared_folder
 from cairnspark.streaming import location as L
 
 QUERIES: dict = {}
@@ -114,7 +115,7 @@ def mercator_inverse_roundtrip(s, d):
 
 @query("SELECT ord, name, lat, lon FROM wp WHERE lat BETWEEN -10 AND 35 AND lon BETWEEN -20 AND 60 ORDER BY name, lat, lon, ord")
 def viewport_table(s, d):
-    return P.table_order(P.viewport(points(s, d), 35, -20, -10, 60)).select("ord", "name", "lat", "lon")
+    return P.table_order(P.merged_viewport(X.waypoints(s, d), 35, -20, -10, 60)).select("ord", "name", "lat", "lon")
 
 
 @query("""SELECT min_lat, max_lat, min_lon, max_lon, round((min_lat + max_lat) / 2e0, 6) AS lat, round((min_lon + max_lon) / 2e0, 6) AS lon,
@@ -216,8 +217,8 @@ VOCAB = "(SELECT row_number() OVER (ORDER BY tag) AS pos, tag AS raw FROM (SELEC
 
 
 def _vocab(s, d):
-    rows = A.vocabulary(X.waypoint_tags(s, d)).agg(F.array_sort(F.collect_set("tag")).alias("t")).select(F.posexplode("t").alias("p", "raw"))  # a vocabulary is small
-    return rows.select((F.col("p") + 1).cast("bigint").alias("pos"), "raw", G.enriched(F.col("raw"))["display"].alias("display"))
+    rows = I.numbered(A.vocabulary(X.waypoint_tags(s, d)), F.substr("tag", F.lit(1), F.lit(1)), "tag")
+    return rows.select(F.col("number").alias("pos"), F.col("tag").alias("raw"), G.enriched(F.col("tag"))["display"].alias("display"))
 
 
 @query(f"SELECT pos, raw, 'tag:' || raw AS name FROM {VOCAB} WHERE starts_with(raw, '$') ORDER BY pos")
@@ -249,9 +250,9 @@ def tag_delete(s, d):
     return A.deleted(t, t.where("tag = 'coffee'"))
 
 
-@query("SELECT c_custkey AS k, 'b,a' AS tags FROM customer")
+@query("SELECT c_custkey AS k, c_mktsegment || ',a,' || c_name AS tags FROM customer")
 def entered_tags(s, d):
-    return X.table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.array_join(A.entered(F.lit(" b, a,,b ,")), ",").alias("tags"))
+    return X.table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.array_join(A.entered(F.concat(F.lit(" "), "c_mktsegment", F.lit(", a,,"), "c_name", F.lit(" ,"), "c_mktsegment")), ",").alias("tags"))
 
 
 # search
@@ -316,18 +317,10 @@ def geocode_classify(s, d):
 
 # mutations
 
-NEW = "(SELECT ord, CASE WHEN ord % 2 = 0 THEN name ELSE name || '+' END AS name, lat + 4e-7 AS lat, lon, ele, false AS bookmark FROM wp WHERE ord <= 40)"
-
-
-#: As NEW, with every point in it.
-NEW_ALL = NEW.replace(" WHERE ord <= 40", "")
+NEW = "(SELECT ord, CASE WHEN ord % 2 = 0 THEN name ELSE name || '+' END AS name, lat + 4e-7 AS lat, lon, ele, false AS bookmark FROM wp )"
 
 
 def _new(p):
-    return _moved(p.where("ord <= 40"))
-
-
-def _moved(p):
     return p.select("ord", F.when(F.col("ord") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("+"))).alias("name"), (F.col("lat") + 4e-7).alias("lat"), "lon", "ele", F.lit(False).alias("bookmark"))
 
 
@@ -356,32 +349,8 @@ def bookmark_rename_first(s, d):
     return K.first_renamed(w, names).select("ord", "name", "lat", "lon")
 
 
-@query("SELECT w.* FROM wp w WHERE NOT (bookmark AND ord <= 100)")
-def bookmark_delete_first(s, d):
-    p = points(s, d)
-    return K.first_deleted(p, p.where("ord <= 100").select("name", "lat", "lon"), I.LIST_TOLERANCE)
-
-
-@query(f"SELECT * FROM wp UNION ALL SELECT n.* FROM {NEW_ALL} n WHERE NOT EXISTS (SELECT 1 FROM wp w WHERE w.name = n.name AND abs(w.lat - n.lat) < 1e-6 AND abs(w.lon - n.lon) < 1e-6)")
-def bookmark_append_all(s, d):
-    p = points(s, d)
-    return K.appended(p, _moved(p))
-
-
-@query(f"SELECT n.ord FROM {NEW_ALL} n WHERE EXISTS (SELECT 1 FROM wp w WHERE w.name = n.name AND abs(w.lat - n.lat) < 1e-6 AND abs(w.lon - n.lon) < 1e-6)")
-def bookmark_duplicates_all(s, d):
-    p = points(s, d)
-    return K.duplicates(p, _moved(p)).select("ord")
-
-
-@query(f"SELECT w.* FROM wp w WHERE NOT EXISTS (SELECT 1 FROM {NEW_ALL} n WHERE w.name = n.name AND abs(w.lat - n.lat) < 1e-6 AND abs(w.lon - n.lon) < 1e-6)")
-def bookmark_delete_all(s, d):
-    p = points(s, d)
-    return K.deleted(p, _moved(p))
-
-
 @query("SELECT w.* FROM wp w WHERE NOT bookmark")
-def bookmark_delete_first_all(s, d):
+def bookmark_delete_first(s, d):
     p = points(s, d)
     return K.first_deleted(p, p.select("name", "lat", "lon"), I.LIST_TOLERANCE)
 
@@ -468,14 +437,7 @@ def throttle_emit(s, d):
 
 
 def _roundtrip(s, p):
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="gpx-")
-    import uuid
-
-    path = f"{base.rstrip('/')}/gpx-{uuid.uuid4().hex}"
+    path = shared_folder(s, "gpx")
     gpx.write_gpx(p, path)
     return gpx.read_gpx(s, path).select("name", S.fixed(F.col("lat"), 6).alias("lat"), S.fixed(F.col("lon"), 6).alias("lon"))
 
@@ -485,24 +447,19 @@ def _text(p):
     return gpx.waypoint_xml(p).select("ord", "xml")
 
 
-@query("SELECT name, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon FROM wp WHERE ord <= 200")
-def gpx_roundtrip(s, d):
-    return _roundtrip(s, points(s, d).where("ord <= 200"))
-
-
 @query("SELECT name, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lon FROM wp ")
-def gpx_roundtrip_all(s, d):
+def gpx_roundtrip(s, d):
     return _roundtrip(s, points(s, d))
 
 
-@query("SELECT ord, '<wpt lat=\"' || printf('%.6f', lat) || '\" lon=\"' || printf('%.6f', lon) || '\"><name>' || name || '&amp;&lt;</name></wpt>' AS xml FROM wp WHERE ord <= 200")
+@query("SELECT ord, '<wpt lat=\"' || printf('%.6f', lat) || '\" lon=\"' || printf('%.6f', lon) || '\"><name>' || name || '&amp;&lt;</name></wpt>' AS xml FROM wp ")
 def gpx_text(s, d):
-    return _text(points(s, d).where("ord <= 200"))
+    return _text(points(s, d))
 
 
-@query("SELECT ord, '<wpt lat=\"' || printf('%.6f', lat) || '\" lon=\"' || printf('%.6f', lon) || '\"><name>' || name || '&amp;&lt;</name></wpt>' AS xml FROM wp ")
-def gpx_text_all(s, d):
-    return _text(points(s, d))
+#: Second names of queries that once had a shorter form.
+for _name in ("bookmark_append", "bookmark_duplicates", "bookmark_delete", "bookmark_delete_first", "gpx_roundtrip", "gpx_text"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
 
 
 # scalars

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairnspark.functions.scalars import EARTH_M
+from cairnspark.sources.shared import shared_folder
 
 
 def valid(fixes: DataFrame) -> DataFrame:
@@ -96,13 +97,6 @@ def usable_signal(signals: DataFrame, name: str, path: str) -> DataFrame:
 def available_now(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its rows; files and state go to the shared folder."""
     spark = stream.sparkSession
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="stream-")
-    where = f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    where = shared_folder(spark, name)
     stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
