@@ -25,12 +25,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
+    """The shared folder of the cluster; a folder of our own only where none is set and Spark runs on one machine."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairnspark-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
