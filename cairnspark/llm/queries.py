@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, hard_negatives, hnsw, html_mincut, jaccard, langid, quality, secret_crf, sentencepieces, suffix_dedup, token_orc, warc_zip
+from . import alignment, decontamination, hard_negatives, hnsw, html_mincut, jaccard, langid, quality, secret_crf, sentencepieces, suffix_dedup, token_orc, warc_zip
 from .sql import ORACLE_SQL  # noqa: F401  what SQL can express
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_crf_secret_scan": secret_crf.query,
     "op9_sharded_hnsw": hnsw.query,
     "op10_orc_token_output": token_orc.query,
+    "op11_shared_cut_alignment": alignment.query,
     "op12_likelihood_ratio_quality": quality.query,
     "op13_four_russians_negatives": hard_negatives.query,
 }
