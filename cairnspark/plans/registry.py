@@ -411,28 +411,10 @@ def debounce_last(s, d):
     return L.debounced(X.location_fixes(s, d).withColumn("ts", F.col("ts").cast("timestamp")), "device", "6 hours")
 
 
-def _stream(s, d):
-    e = s.readStream.schema(X.table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    u, lost = F.col("user_id"), F.col("event_id") % 20 == 0
-    return e.select(u.alias("device"), "ts", F.when(lost, 0.0).otherwise(X.lat(u) + F.col("value") * 1e-5).alias("lat"), F.when(lost, 0.0).otherwise(X.lon(u)).alias("lon"), "event_id")
-
-
 METRES = f"2 * {S.EARTH_M}e0 * asin(sqrt(least(1e0, pow(sin((f.lat - w.la) * pi() / 360e0), 2) + cos(w.la * pi() / 180e0) * cos(f.lat * pi() / 180e0) * pow(sin((f.lon - w.lo) * pi() / 360e0), 2))))"
 STEPS = "SELECT device, epoch(ts) AS t, lat, lon, event_id, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) AS rn FROM location_fix"
 
 
-@query(f"""SELECT device, t, lat, lon, event_id FROM (WITH RECURSIVE f AS ({STEPS} WHERE NOT (lat = 0 AND lon = 0)), walk AS (SELECT device, rn, t, lat, lon, event_id, t AS lt, lat AS la, lon AS lo, true AS given FROM f WHERE rn = 1
-    UNION ALL SELECT device, rn, t, lat, lon, event_id, CASE WHEN m THEN t ELSE lt END, CASE WHEN m THEN lat ELSE la END, CASE WHEN m THEN lon ELSE lo END, m FROM (SELECT f.*, w.lt, w.la, w.lo, f.t - w.lt >= 5 AND {METRES} >= 25 AS m FROM walk w JOIN f ON f.device = w.device AND f.rn = w.rn + 1)) SELECT * FROM walk WHERE given)""")
-def fix_threshold(s, d):
-    return L.available_now(L.thresholded(_stream(s, d)), "fix-threshold")
-
-
-@query(f"""SELECT k, event_id, t, round(emit_t, 3) AS emit_t FROM (WITH RECURSIVE f AS ({STEPS} ), walk AS (SELECT device AS k, rn, event_id, t, t AS emit_t FROM f WHERE rn = 1
-    UNION ALL SELECT f.device, f.rn, f.event_id, f.t, greatest(f.t, w.emit_t + 0.4e0) FROM walk w JOIN f ON f.device = w.k AND f.rn = w.rn + 1) SELECT * FROM walk)""")
-def throttle_emit(s, d):
-    return L.available_now(L.throttled(_stream(s, d), "device"), "throttle").withColumn("emit_t", F.round("emit_t", 3))
-
-
 # files
 
 
@@ -457,11 +439,6 @@ def gpx_text(s, d):
     return _text(points(s, d))
 
 
-#: Second names of queries that once had a shorter form.
-for _name in ("bookmark_append", "bookmark_duplicates", "bookmark_delete", "bookmark_delete_first", "gpx_roundtrip", "gpx_text"):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
-
-
 # scalars
 
 
@@ -505,4 +482,4 @@ def route_text(s, d):
     return X.table(s, d, "nation").select(F.element_at(made, F.col("n_nationkey") % 4).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 
 
-from cairnspark.plans import exchange  # noqa: E402, F401  it adds its queries
+from cairnspark.plans import exchange, timed  # noqa: E402, F401  they add their queries

@@ -1,21 +1,9 @@
-"""Location streams: latest fix, thresholds, debouncing and throttling.
-
-Each operator runs on batch and on streaming frames, except for the stateful
-ones, which say so.
-"""
+"""Location fixes: the latest, bursts, current answers and signals, on batch frames; ordered.py has the streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from cairnspark.functions.scalars import EARTH_M
-from cairnspark.sources.shared import shared_folder
 
 
 def valid(fixes: DataFrame) -> DataFrame:
@@ -35,55 +23,6 @@ def debounced(events: DataFrame, key: str, gap: str) -> DataFrame:
     return events.groupBy(key, burst.alias("w")).agg(F.count("*").alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).drop("w")
 
 
-def _metres(lat1, lon1, lat2, lon2):
-    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_M * np.arcsin(np.sqrt(min(1.0, a)))
-
-
-def _moved(last, row, metres: float, seconds: float) -> bool:
-    return last is None or (row.t - last[0] >= seconds and _metres(last[1], last[2], row.lat, row.lon) >= metres)
-
-
-STATE, OUT = "t double, lat double, lon double", "device bigint, t double, lat double, lon double, event_id bigint"
-
-
-def thresholded(fixes: DataFrame, metres: float = 25.0, seconds: float = 5.0) -> DataFrame:
-    """Streaming: fixes at least so far and so long after the one last given out. The state is one fix a device."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        for part in parts:
-            out = []
-            for row in part.sort_values(["t", "event_id"]).itertuples():
-                if _moved(last, row, metres, seconds):
-                    last = (row.t, row.lat, row.lon)
-                    out.append((key[0], row.t, row.lat, row.lon, row.event_id))
-            yield pd.DataFrame(out, columns=["device", "t", "lat", "lon", "event_id"])
-        if last is not None:
-            state.update(tuple(map(float, last)))
-
-    rows = valid(fixes).select("device", F.col("ts").cast("timestamp").cast("double").alias("t"), "lat", "lon", "event_id")
-    return rows.groupBy("device").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def throttled(requests: DataFrame, key: str, spacing: float = 0.4) -> DataFrame:
-    """Streaming: each request (ts, event_id) with the time at which it may go, at least spacing after the one before. Nothing is dropped."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        free = state.get[0] if state.exists else -np.inf
-        for part in parts:
-            out = []
-            for row in part.sort_values(["t", "event_id"]).itertuples():
-                at = max(row.t, free)
-                free = at + spacing
-                out.append((k[0], row.event_id, row.t, at))
-            yield pd.DataFrame(out, columns=["k", "event_id", "t", "emit_t"])
-        state.update((float(free),))
-
-    rows = requests.select(F.col(key).alias("k"), F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id")
-    return rows.groupBy("k").applyInPandasWithState(step, "k bigint, event_id bigint, t double, emit_t double", "free double", "append", GroupStateTimeout.NoTimeout)
-
-
 def current_only(answers: DataFrame, asked: DataFrame) -> DataFrame:
     """Answers to the latest question of each session; stale ones are dropped."""
     last = asked.groupBy("session").agg(F.max("query_id").alias("query_id"))
@@ -92,11 +31,3 @@ def current_only(answers: DataFrame, asked: DataFrame) -> DataFrame:
 
 def usable_signal(signals: DataFrame, name: str, path: str) -> DataFrame:
     return signals.where((F.col("name") == name) & (F.col("path") == path) & (F.coalesce("location", F.lit("")) != ""))
-
-
-def available_now(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows; files and state go to the shared folder."""
-    spark = stream.sparkSession
-    where = shared_folder(spark, name)
-    stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/out")
