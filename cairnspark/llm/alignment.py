@@ -72,8 +72,8 @@ def piece_bytes(sp: sentencepiece.SentencePieceProcessor) -> list[bytes]:
 
 def shared_cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The places in a of the ends that a and b (ascending ends; the last is the same) share, ascending."""
-    if not len(a):
-        return np.zeros(0, np.int64)
+    if len(a) < 2:
+        return np.arange(len(a))
     found = [np.array([len(a) - 1])]
     lo, hi = np.array([0]), np.array([len(a) - 1])  # ends of a that may be cuts: lo <= place < hi
     while len(lo):
@@ -214,8 +214,8 @@ def encoded(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
 def frequent_from(counts: DataFrame, most: int = FREQUENT_PAIRS) -> int:
     """The least power of two such that at most so many pairs have that count or more."""
-    bins = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("bin")).count().collect()  # 64 rows at most
-    total, least = 0, 64
+    bins = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("bin")).count().collect()  # 63 rows at most
+    total, least = 0, 62
     for k, n in sorted(map(tuple, bins), reverse=True):
         total += n
         if total > most:

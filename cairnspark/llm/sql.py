@@ -29,13 +29,13 @@ FROM worded LEFT JOIN sized USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b)
 
 #: Bytes are pairs of hex digits; strings of 50 bytes meet by a 128-bit hash of them.
 DEDUP = """
-WITH body AS (SELECT doc_id, hex(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-start AS (SELECT doc_id, c.k AS k, c.s AS s FROM (SELECT doc_id, unnest(list_transform(range(0, n - 49), lambda k: {'k': k, 's': md5_number(substr(h, 2 * k + 1, 100))})) AS c FROM body WHERE n >= 50)),
-again AS (SELECT doc_id, k FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS least FROM start) WHERE doc_id > least),
-run AS (SELECT doc_id, min(k) AS lo, max(k) + 50 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS r FROM (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY doc_id, r),
-piece AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS came FROM run),
-kept AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * came + 1, 2 * (lo - came)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS rest FROM piece JOIN body USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM body LEFT JOIN kept USING (doc_id)
+WITH body AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+start AS (SELECT r, doc_id, c.k AS k, c.s AS s FROM (SELECT r, doc_id, unnest(list_transform(range(0, n - 49), lambda k: {'k': k, 's': md5_number(substr(h, 2 * k + 1, 100))})) AS c FROM body WHERE n >= 50)),
+again AS (SELECT r, k FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS least FROM start) WHERE doc_id > least),
+run AS (SELECT r, min(k) AS lo, max(k) + 50 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS g FROM (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY r, g),
+piece AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS came FROM run),
+kept AS (SELECT r, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * came + 1, 2 * (lo - came)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS rest FROM piece JOIN body USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM body LEFT JOIN kept USING (r)
 """
 
 WORDS = f"regexp_extract_all(coalesce({FOLDED}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -22,8 +22,13 @@ document with a smaller doc_id. Strings are found exactly, in these steps:
 
 Defined results: null and empty texts have no bytes; rows with a null doc_id
 are kept whole and take nothing from others; rows with equal doc_ids and
-texts are treated alike; of different texts with one doc_id that with the least
-hash takes part and the others are kept whole; other columns are left out.
+texts are treated alike; different texts of one doc_id are judged each against
+all smaller doc_ids, never against each other; very long texts are worked on in
+slices; an empty table gives no row; other columns are left out.
+
+An owner is a doc_id, or where a doc_id has several texts, all doc_ids are
+moved up by some bits, below which the texts have numbers of their own; owners
+are compared without these bits.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -233,13 +238,13 @@ def _gone(owners: np.ndarray, firsts: np.ndarray, counts: np.ndarray, n_buckets:
     return [(-1 - k, b"", *(_blob(x[at]) for x in (owners, firsts, counts)), b"") for k, at in _split(_own_bucket(owners, n_buckets), n_buckets)]
 
 
-def _packed(keys, owners, firsts, counts, pieces: list[bytes], n_buckets: int) -> pa.RecordBatch:
+def _packed(keys, owners, firsts, counts, pieces: list[bytes], n_buckets: int, below: int) -> pa.RecordBatch:
     """Rows of stretches by bucket of keys; of equal stretches the first owner's alone, as those of others go."""
     prints = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in pieces], _U64)
     order = np.lexsort((owners, prints, keys))
     same = np.concatenate([[False], (keys[order][1:] == keys[order][:-1]) & (prints[order][1:] == prints[order][:-1]) & (counts[order][1:] == counts[order][:-1])])
     lead = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-    later = same & (owners[order] > owners[order][lead])
+    later = same & (owners[order] >> below > owners[order][lead] >> below)
     gone, keep = order[later], np.sort(order[~later])  # a text's own repeats are judged each
     rows = _gone(owners[gone], firsts[gone], counts[gone], n_buckets)
     for k, at in _split(((keys[keep] >> _U64(16)) % _U64(n_buckets)).astype(_I64), n_buckets):
@@ -270,7 +275,7 @@ def _taken(columns, data: np.ndarray, some: np.ndarray):
     return [c[some] for c in columns], data[np.repeat(some, sizes)]
 
 
-def _strings(columns, data: np.ndarray, n_buckets: int):
+def _strings(columns, data: np.ndarray, n_buckets: int, below: int):
     """Each string of the stretches as a stretch of its own, with a key of all its bytes."""
     _, owners, firsts, counts = columns
     begin = np.cumsum(counts.astype(_I64) + LENGTH - 1) - (counts + LENGTH - 1)
@@ -280,10 +285,10 @@ def _strings(columns, data: np.ndarray, n_buckets: int):
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         body = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[np.repeat(begin[some], n) + inside]
         keys = mix((_RANDOM[body] * _powers(LENGTH)[0]).sum(axis=1, dtype=_U64))
-        yield _packed(keys, np.repeat(owners[some], n), np.repeat(firsts[some], n) + inside.astype(_I32), np.ones(len(keys), _I32), [x.tobytes() for x in body], n_buckets)
+        yield _packed(keys, np.repeat(owners[some], n), np.repeat(firsts[some], n) + inside.astype(_I32), np.ones(len(keys), _I32), [x.tobytes() for x in body], n_buckets, below)
 
 
-def _sorted_out(held: _Held, n_buckets: int) -> list[tuple]:
+def _sorted_out(held: _Held, n_buckets: int, below: int) -> list[tuple]:
     """Rows of the strings that go, by refinement of the suffixes of each group of stretches with one key."""
     keys, owners, firsts, counts, data = held.whole()
     ends = np.cumsum(counts.astype(_I64) + LENGTH - 1)
@@ -307,7 +312,7 @@ def _sorted_out(held: _Held, n_buckets: int) -> list[tuple]:
         owner, bucket = owners[some][stretch[at]], bucket[at]
         least = np.full(int(bucket.max()) + 1, np.iinfo(_I64).max)
         np.minimum.at(least, bucket, owner)
-        gone = owner > least[bucket]
+        gone = owner >> below > least[bucket] >> below
         string = firsts[some][stretch[at]][gone].astype(_I64) + inside[at][gone]
         owner, part = owner[gone], stretch[at][gone]
         if len(string):
@@ -318,8 +323,8 @@ def _sorted_out(held: _Held, n_buckets: int) -> list[tuple]:
     return _gone(*map(np.concatenate, done), n_buckets)
 
 
-def repeated_spans(docs: DataFrame, shared: DataFrame, n_bytes: int, held_bytes: int = 64 << 20, hot: int = 20_000) -> DataFrame:
-    """doc_id with packed starts and ends of the runs of bytes that go. n_bytes: of all stretches, about.
+def repeated_spans(docs: DataFrame, shared: DataFrame, n_bytes: int, held_bytes: int = 64 << 20, hot: int = 20_000, below: int = 0) -> DataFrame:
+    """doc_id with packed starts and ends of the runs of bytes that go. n_bytes: of all stretches, about; below: low bits of doc_id that do not count.
 
     A task that holds more than held_bytes of a bucket sends the stretches of
     keys that have more than hot of them on, string by string, so that they
@@ -334,7 +339,7 @@ def repeated_spans(docs: DataFrame, shared: DataFrame, n_bytes: int, held_bytes:
         held, size = [], 0
 
         def flush():
-            return _packed(*(np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True)), [p for h in held for p in h[4]], n_buckets)
+            return _packed(*(np.concatenate(x) for x in zip(*(h[:4] for h in held), strict=True)), [p for h in held for p in h[4]], n_buckets, below)
 
         for b in batches:
             data, offsets = common.texts_of(b.column(1))
@@ -370,11 +375,11 @@ def repeated_spans(docs: DataFrame, shared: DataFrame, n_bytes: int, held_bytes:
                         continue
                     if k != now:
                         if held.parts:
-                            yield _batch(_sorted_out(held, n_buckets), _STRETCHES)
+                            yield _batch(_sorted_out(held, n_buckets, below), _STRETCHES)
                         now, held, limit, apart = k, _Held(), held_bytes, np.zeros(0, _U64)
                     columns, data = [np.frombuffer(c, kind) for c, kind in zip(columns, _KINDS, strict=True)], np.frombuffer(data, np.uint8)
                     if len(apart) and (some := np.isin(columns[0], apart)).any():
-                        yield from _strings(*_taken(columns, data, some), n_buckets)
+                        yield from _strings(*_taken(columns, data, some), n_buckets, below)
                         columns, data = _taken(columns, data, ~some)
                     held.add(columns, data)
                     if spread and held.size > limit:
@@ -382,11 +387,11 @@ def repeated_spans(docs: DataFrame, shared: DataFrame, n_bytes: int, held_bytes:
                         keys, counts = np.unique(columns[0], return_counts=True)
                         apart = np.union1d(apart, keys[counts > hot])
                         some, held = np.isin(columns[0], apart), _Held()
-                        yield from _strings(*_taken(columns, data, some), n_buckets)
+                        yield from _strings(*_taken(columns, data, some), n_buckets, below)
                         held.add(*_taken(columns, data, ~some))
                         limit = max(limit, 2 * held.size)
             if held.parts:
-                yield _batch(_sorted_out(held, n_buckets), _STRETCHES)
+                yield _batch(_sorted_out(held, n_buckets, below), _STRETCHES)
 
         return common.trimmed(run)
 
@@ -417,30 +422,60 @@ def _broadcast(df: DataFrame, *binaries: str) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df, stored, with a column number (from 0, in the order of its partitions), and its number of rows."""
+    placed = common.stored(df.withColumn("at", F.monotonically_increasing_id()), name)
+    part, inside = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(map(tuple, placed.groupBy(part.alias("part")).count().collect()))  # one row a partition
+    before = [sum(n for _, n in sizes[:k]) for k in range(len(sizes))]
+    starts = F.broadcast(df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=True)], "part long, before long"))
+    return placed.join(starts, part == F.col("part")).withColumn("number", F.col("before") + inside).drop("at", "part", "before"), sum(n for _, n in sizes)
+
+
+def _owners(docs: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """docs and hashes with owner, and the bits of it that do not count."""
+    texts = hashes.groupBy("doc_id").agg((F.min("hash") != F.max("hash")).alias("more"))
+    several = common.stored(texts.where("more").select("doc_id"), "several-texts")
+    if several.isEmpty():
+        return docs.withColumn("owner", F.col("doc_id")), hashes.withColumn("owner", F.col("doc_id")), 0
+    numbers, n = _counted(hashes.join(several, "doc_id").select("doc_id", "hash").distinct(), "text-numbers")
+    numbers = numbers.select(F.col("doc_id").alias("n_id"), F.col("hash").alias("n_hash"), "number")
+    bits = max(1, n.bit_length())
+    least, most = hashes.agg(F.min("doc_id"), F.max("doc_id")).first()
+    rank = None
+    if max(-least, most) >> (62 - bits):  # ids that cannot be moved up are replaced by their ranks
+        ranks, _ = _counted(hashes.select("doc_id").distinct().repartitionByRange(common.shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id"), "id-ranks")
+        rank = ranks.select(F.col("doc_id").alias("r_id"), F.col("number").alias("rank"))
+
+    def owned(rows: DataFrame, hash_: Column) -> DataFrame:
+        rows = rows.join(numbers, (F.col("doc_id") == F.col("n_id")) & (hash_ == F.col("n_hash")), "left")
+        if rank is not None:
+            rows = rows.join(rank, F.col("doc_id") == F.col("r_id"), "left")
+        high = F.col("doc_id") if rank is None else F.col("rank")
+        return rows.withColumn("owner", F.shiftleft(high, bits) + F.coalesce("number", F.lit(0))).drop("n_id", "n_hash", "number", "r_id", "rank")
+
+    return owned(docs, F.sha2("text", 256)), owned(hashes, F.col("hash")), bits
+
+
 def removal(docs: DataFrame) -> DataFrame:
     """doc_id (long), text, lo, hi and whole (a later copy) for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    hashes = common.stored(named.select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("bytes")), "hashes")
+    counted = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
+    hashes = common.stored(docs.where(counted).select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("bytes")), "hashes")
+    docs, hashes, bits = _owners(docs, hashes)
     firsts = hashes.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).where("size > 1")
-    copies = hashes.join(firsts, "hash").where(F.col("doc_id") > F.col("first")).select("doc_id", "hash").distinct()
+    copies = hashes.join(firsts, "hash").where(F.col("doc_id") > F.col("first")).select("owner", "hash").distinct()
     copies = common.stored(copies, "text-copies")
-    texts = hashes.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
-    several = common.stored(texts.where("least <> most").select(F.col("doc_id").alias("several"), "least"), "several-texts")
-    aside = F.lit(False)
-    if not several.isEmpty():  # of an id's texts one takes part
-        docs, named = (x.join(several, F.col("doc_id") == F.col("several"), "left") for x in (docs, named))
-        aside = F.coalesce(F.sha2("text", 256) != F.col("least"), F.lit(False))
-        copies = copies.join(several, F.col("doc_id") == F.col("several"), "left").where("least is null or hash = least").select("doc_id", "hash")
-    kept = _restricted(named.where(~aside).select("doc_id", "text"), common.stored(copies.select("doc_id").distinct(), "copy-ids"), "left_anti")
+    kept = _restricted(docs.where(counted).select(F.col("owner").alias("doc_id"), "text"), common.stored(copies.select(F.col("owner").alias("doc_id")).distinct(), "copy-ids"), "left_anti")
     n_bytes = hashes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shared = common.stored(shared_anchors(kept, n_bytes), "anchors")
     n_anchors = shared.agg(F.coalesce(F.sum(F.octet_length("anchors") / 4), F.lit(0.0))).first()[0]
-    spans = _broadcast(common.stored(repeated_spans(kept, shared, int(n_anchors) * 2 * (LENGTH + SPAN)), "spans"), "lo", "hi")
-    marks = _broadcast(copies.select(F.col("doc_id").alias("copy"), F.col("hash").alias("copy_hash")), "copy_hash")
-    rows = docs.join(spans, "doc_id", "left").join(marks, (F.col("doc_id") == F.col("copy")) & (F.sha2("text", 256) == F.col("copy_hash")), "left")
-    lo, hi = (F.when(~aside, F.col(c)).alias(c) for c in ("lo", "hi"))
-    return rows.select("doc_id", "text", lo, hi, F.col("copy").isNotNull().alias("whole"))
+    spans = repeated_spans(kept, shared, int(n_anchors) * 2 * (LENGTH + SPAN), below=bits)
+    spans = _broadcast(common.stored(spans, "spans"), "lo", "hi").withColumnRenamed("doc_id", "span_owner")
+    marks = _broadcast(copies.select(F.col("owner").alias("copy"), F.col("hash").alias("copy_hash")), "copy_hash")
+    rows = docs.join(spans, F.col("owner") == F.col("span_owner"), "left").join(marks, (F.col("owner") == F.col("copy")) & (F.sha2("text", 256) == F.col("copy_hash")), "left")
+    long_enough = lambda c: F.when(counted, F.col(c)).alias(c)  # noqa: E731  a short text may share its owner with a long one
+    return rows.select("doc_id", "text", long_enough("lo"), long_enough("hi"), F.col("copy").isNotNull().alias("whole"))
 
 
 def kept_bytes(body: bytes, lo: bytes | None, hi: bytes | None, whole: bool) -> tuple[bytes, int]:

@@ -474,7 +474,7 @@ def test_secret_query_against_brute_force(spark, tmp_path):
 def test_query_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     df = QUERIES[name](spark, sf)
     found = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
