@@ -16,7 +16,8 @@ html, body and the elements around the article, which are layout.
 Defined results: a null or empty page, and one without content, has the empty
 text; a tag, comment or script that never ends takes the rest of the page;
 markup need not be well formed; pages are judged one by one, so repeated
-or null ids and other columns make no difference.
+or null ids and other columns make no difference; very long pages are read in
+one pass; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 NEVER = frozenset("nav footer aside form button select option menu dialog label input search head fieldset".split())
 CONTENT = frozenset("article main".split())
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"])}
-#: Parts of class, id or role names that tell what an element is for. Loose ones tell nothing beside a good one, as in ``entry-header``.
-FIRM = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|popup|modal|overlay|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|foot\w*|masthead|comment\w*|disqus\w*|respon[ds]\w*|repl(?:y|ies)|related\w*|recommend\w*|newsletter\w*|subscri\w*|signup|login|search\w*|pag(?:er|ination)|copyright|legal|disclaimer|complementary|contentinfo|skip\w*|toolbar", re.I)
-LOOSE = re.compile(r"header|share\w*|social\w*|tags?|form\w*|notice\w*|alert", re.I)
+#: Parts of class, id or role names that tell what an element is for. Firm ones always do; loose ones alone or beside the name of a container, as in ``share-buttons``, but hardly in ``social-issues``.
+FIRM = re.compile(r"ads?|advert\w*|sponsor\w*|banner\w*|cookie\w*|consent|popup|modal|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|widget\w*|footer\w*|masthead|comment\w*|disqus\w*|newsletter\w*|subscri\w*|signup|login|pag(?:er|ination)|copyright|complementary|contentinfo|skip|toolbar", re.I)
+LOOSE = re.compile(r"header|share\w*|sharing|social\w*|tags?|form\w*|notice\w*|alert|promo\w*|overlay|side|foot|respon[ds]\w*|repl(?:y|ies)|related\w*|recommend\w*|search\w*|legal|disclaimer", re.I)
+HOLDER = re.compile(r"area|bar|block|box|buttons?|cloud|column|container|content|field|group|icons?|inner|items?|left|links?|list|media|more|note|outer|panel|posts?|articles?|stories|products?|right|rail|row|section|site|page|top|bottom|text|topics?|wrap(?:per)?|\d*", re.I)
+#: Fixed value: headings above what readers wrote.
+READERS = re.compile(r"(?:\d+|no|all|reader|readers'|user|leave a|add a|post a|write a|join the)?\s*(?:comments?|responses?|repl(?:y|ies)|discussion|conversation)(?:\s*[(:].*|\s+(?:to|on|so far|from readers)\b.*)?", re.I)
 GOOD = re.compile(r"article\w*|content\w*|post|story|entry|main|body|text", re.I)
 #: Names of states and layouts, which tell of the page and not of the element.
 STATES = re.compile(r"(?:no|not|has|with|without|is|js)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|visible|on|off|layout)", re.I)
@@ -56,13 +60,13 @@ NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 STOPS = re.compile(r"[.!?…。](?:\s|$)")
 
 #: Weights of the classifier's features, and of the two kinds of smoothness edges.
-W_BIAS, W_WORDS, W_LINKS, W_STOPS, W_INSIDE, W_OUTSIDE, W_BAD, W_GOOD, W_HEADING, W_LIST = -1.2, 0.7, -5.0, 0.8, 5.0, -4.0, -9.0, 1.2, 0.8, -0.8
+W_BIAS, W_WORDS, W_LINKS, W_STOPS, W_INSIDE, W_OUTSIDE, W_BAD, W_GOOD, W_LOOSE, W_HEADING, W_LIST, W_MOST, W_REST = -1.2, 0.7, -5.0, 0.8, 5.0, -4.0, -9.0, 1.2, -2.0, 0.8, -0.8, 3.0, -1.0
 SMOOTH_NEXT, SMOOTH_SIBLING = 0.5, 0.6
 TIED = 1e6
 
 
 class Block:
-    __slots__ = ("parts", "links", "element", "tag", "text", "never", "bad", "good", "inside")
+    __slots__ = ("parts", "links", "element", "tag", "text", "never", "bad", "good", "loose", "inside")
 
     def __init__(self, element: int, tag: str):
         self.parts, self.links, self.element, self.tag = [], 0, element, tag
@@ -72,13 +76,13 @@ class Tree:
     """The elements of a page: parent, and of the elements that start a block the nearest one, its parent and its depth."""
 
     def __init__(self):
-        self.parent, self.never, self.bad, self.good, self.content, self.header = [0], [False], [False], [False], [False], [False]
+        self.parent, self.never, self.bad, self.good, self.loose, self.content, self.header = [0], [False], [False], [False], [False], [False], [False]
         self.box, self.box_parent, self.depth = [0], [0], [0]
 
     def add(self, parent: int, is_block: bool) -> int:
         k = len(self.parent)
         self.parent.append(parent)
-        for flags in (self.never, self.bad, self.good, self.content, self.header):
+        for flags in (self.never, self.bad, self.good, self.loose, self.content, self.header):
             flags.append(False)
         box = self.box[parent]
         self.box.append(k if is_block else box)
@@ -113,9 +117,9 @@ def tag_at(page: str, at: int) -> tuple[str, str, int] | None:
     return "", "", len(page)
 
 
-def told_by(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element's attributes hide it, and whether its names are bad and good ones."""
-    hidden = bad = good = False
+def told_by(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element's attributes hide it, and whether its names, taken together, are bad, good or loosely bad ones."""
+    hidden = bad = good = loose = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
@@ -123,16 +127,18 @@ def told_by(attributes: str) -> tuple[bool, bool, bool]:
                 if STATES.fullmatch(token):
                     continue
                 parts = re.split(r"[-_]+", CAMEL.sub(r"\1-\2", token))
-                fine = any(map(GOOD.fullmatch, parts))
-                wrong = any(map(FIRM.fullmatch, parts)) or (not fine and any(map(LOOSE.fullmatch, parts)))
-                bad, good = bad or wrong, good or (fine and not wrong)
+                fine, firm = any(map(GOOD.fullmatch, parts)), any(map(FIRM.fullmatch, parts))
+                hints = [p for p in parts if LOOSE.fullmatch(p)]
+                rest = [p for p in parts if not LOOSE.fullmatch(p)]
+                alone = bool(hints) and all(map(HOLDER.fullmatch, rest)) and not (fine and any(h.lower() in ("header", "share", "tag", "tags") for h in hints))
+                bad, good, loose = bad or firm or alone, good or (fine and not firm and not alone), loose or bool(hints)
         elif name == "hidden":
             hidden = True
         elif name == "aria-hidden":
             hidden = hidden or value.strip().lower() == "true"
         elif name == "style":
             hidden = hidden or bool(NO_DISPLAY.search(value))
-    return hidden, bad, good
+    return hidden, bad, good, loose and not good
 
 
 def blocks_of(page: str) -> tuple[list[Block], bool, Tree]:
@@ -219,8 +225,8 @@ def blocks_of(page: str) -> tuple[list[Block], bool, Tree]:
             first = first or k
         elif lower == "h1":
             heading = heading or k
-        hidden, bad, good = told_by(attributes) if attributes and not attributes.isspace() and lower not in ("html", "body") else (False, False, False)
-        tree.never[k], tree.header[k], tree.bad[k], tree.good[k] = hidden or lower in NEVER, lower == "header", bad, good
+        hidden, bad, good, loose = told_by(attributes) if attributes and not attributes.isspace() and lower not in ("html", "body") else (False, False, False, False)
+        tree.never[k], tree.header[k], tree.bad[k], tree.good[k], tree.loose[k] = hidden or lower in NEVER, lower == "header", bad, good, loose
         if not attributes.endswith("/"):
             open_at.setdefault(lower, []).append(len(stack))
             stack.append((lower, k, lower if is_block else box, len(stack) if is_block else box_depth, links + (lower == "a")))
@@ -236,14 +242,19 @@ def blocks_of(page: str) -> tuple[list[Block], bool, Tree]:
 def judge(tree: Tree, blocks: list[Block], core: int) -> None:
     """Gives blocks what the elements around them tell.
 
-    Elements around the core, the first element for content or else the first
-    main heading, are layout and tell nothing; without a core those are that
-    hold more than half of the text.
+    The core, the first element for content or else the first main heading,
+    and the elements around it are layout, whose names tell nothing; without a
+    core those are that hold more than half of the text. A page without an
+    element for content has the smallest one instead that holds three quarters
+    of the text outside of links, menus and the like.
+
+    What stands under a heading above readers' words is theirs: the heading's
+    parent, or what follows in it if it is layout.
     """
     n = len(tree.parent)
     layout = [False] * n
     if core:
-        k = tree.parent[core]
+        k = core
         while k:
             layout[k], k = True, tree.parent[k]
     else:
@@ -253,14 +264,46 @@ def judge(tree: Tree, blocks: list[Block], core: int) -> None:
         for k in range(n - 1, 0, -1):
             size[tree.parent[k]] += size[k]
         layout = [2 * s > size[0] for s in size]
-    never, bad, good, inside = [False] * n, [False] * n, [False] * n, [False] * n
+    marked: set[int] = set()
+    for i, b in enumerate(blocks):
+        if b.tag[:1] == "h" and b.tag[1:].isdigit() and READERS.fullmatch(b.text):
+            parent = tree.box_parent[tree.box[b.element]]
+            if not layout[parent]:
+                tree.never[parent] = True
+            if not layout[parent] or parent in marked:
+                continue
+            marked.add(parent)
+            for c in blocks[i:]:
+                k = tree.box[c.element]
+                while k and tree.box_parent[k] != parent:
+                    k = tree.box_parent[k]
+                if not k:
+                    break
+                tree.never[k] = True
+    never, bad, good, loose, inside = [False] * n, [False] * n, [False] * n, [False] * n, [False] * n
     for k in range(1, n):  # parents come first
         p = tree.parent[k]
         own = not layout[k]
         never[k] = never[p] or (own and (tree.never[k] or (tree.header[k] and not inside[p])))
         bad[k], good[k], inside[k] = bad[p] or (own and tree.bad[k]), good[p] or tree.good[k], inside[p] or tree.content[k]
+        loose[k] = loose[p] or (own and tree.loose[k])
+    if not any(tree.content):
+        size = [0] * n
+        for b in blocks:
+            if not never[b.element] and not bad[b.element]:
+                size[b.element] += max(0, len(b.text) - b.links)
+        for k in range(n - 1, 0, -1):
+            size[tree.parent[k]] += size[k]
+        k = 0
+        for j in range(1, n):
+            if tree.parent[j] == k and tree.box[j] == j and 4 * size[j] >= 3 * size[0] > 0:
+                k = j
+        held = [False] * n
+        for j in range(1, n):
+            held[j] = j == k or held[tree.parent[j]] or k == 0
+        inside = held
     for b in blocks:
-        b.never, b.bad, b.good, b.inside = never[b.element], bad[b.element], good[b.element], inside[b.element]
+        b.never, b.bad, b.good, b.loose, b.inside = never[b.element], bad[b.element], good[b.element], loose[b.element], inside[b.element]
 
 
 def score(b: Block, has_content: bool) -> float:
@@ -270,8 +313,12 @@ def score(b: Block, has_content: bool) -> float:
     s = W_BIAS + W_WORDS * math.log(words) + W_LINKS * b.links / max(1, raw) + W_STOPS * min(3, len(STOPS.findall(b.text))) / 1.5
     if has_content:
         s += W_INSIDE if b.inside else W_OUTSIDE
+    else:
+        s += W_MOST if b.inside else W_REST
     if b.bad:
         s += W_BAD
+    elif b.loose:
+        s += W_LOOSE
     if b.good:
         s += W_GOOD
     if b.tag[:1] == "h" and b.tag[1:].isdigit():

@@ -13,7 +13,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from cairnspark.llm import alignment, hard_negatives, quality, suffix_dedup
+from cairnspark.llm import alignment, hard_negatives, html_mincut, quality, suffix_dedup
 from cairnspark.llm.queries import ORACLE_SQL, QUERIES
 
 from test_operators import write
@@ -218,3 +218,38 @@ def test_negatives_query_against_sql(spark, tmp_path, monkeypatch):
     got = spark_rows(QUERIES["op13_four_russians_negatives"](spark, sf))
     assert got == sql_rows("op13_four_russians_negatives", sf, "embeddings") and len(got) > 60
     assert QUERIES["op13_four_russians_negatives"](spark, write(tmp_path, "embeddings", df.limit(0))).count() == 0
+
+
+# main text
+
+
+P1, P2 = "The first paragraph tells of a river, and of the old stone bridge over it.", "The second one is long enough too, and it ends the story."
+BODY, LINES = f"<h1>A heading of some words</h1><p>{P1}</p><p>{P2}</p>", ["A heading of some words", P1, P2]
+LINKS = '<ul><li><a href="/">Home</a></li><li><a href="/b">Blog</a></li></ul>'
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body><nav>x</nav><article class="post-123 post type-post status-publish format-standard hentry category-news tag-politics">{BODY}<ul><li>One item</li><li>Two</li></ul></article><footer>c</footer>', [*LINES, "One item", "Two"]),
+        (f'<body><article class="social-issues">{BODY}</article>', LINES),
+        (f'<body><article class="promo-free">{BODY}</article>', LINES),
+        (f'<body><article><section id="related-work"><p>{P1}</p></section><div class="side-by-side"><p>{P2}</p></div><section class="legal-analysis"><p>{P1}</p></section></article>', [P1, P2, P1]),
+        (f'<body>{LINKS}<div>{BODY}<ul><li>Item one of it</li><li>Item two</li></ul><table><tr><td>a cell</td><td>12</td></tr></table><p>Short.</p></div><div class="footer">Copyright 2020</div>', [*LINES, "Item one of it", "Item two", "a cell", "12", "Short."]),
+        ("<body><h1>Prices of tea</h1><table><tr><td>Green tea</td><td>12</td></tr><tr><td>Black tea</td><td>9</td></tr></table>", ["Prices of tea", "Green tea", "12", "Black tea", "9"]),
+        (f"<body><article>{BODY}</article><section><h2>3 responses</h2><article><p>I do not think so at all, said one.</p></article><article><p>Nor do I, if you ask me about it, really.</p></article></section>", LINES),
+        (f"<body><article>{BODY}<div><h3>Reader comments</h3><p>I do not think so at all, said one reader of it.</p></div></article>", LINES),
+        (f"<body><main>{BODY}<h3>2 Comments</h3><div><p>I do not think so at all, said one reader of it.</p></div><p>Another one, not wrapped at all, with words.</p></main>", LINES),
+        (f'<body><article>{BODY}<div class="related-posts"><a href=x>Other post</a><p>Some teaser text of it that is not so short as one thinks.</p></div><div class="share-buttons">Share this now</div></article>', LINES),
+    ],
+)
+def test_main_text_of_pages_whose_names_mislead(page, want):
+    assert html_mincut.main_text(page) == "\n".join(want)
+
+
+def test_many_headings_above_comments_take_one_pass():
+    import time
+
+    began = time.process_time()
+    html_mincut.main_text("<main>" + "<h2>3 comments</h2><p>x y z</p>" * 20_000)
+    assert time.process_time() - began < 8
