@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from cairnspark.operators import spacing, tilecache
 from cairnspark.plans import fixtures as X
 from cairnspark.plans.registry import METRES, STEPS, query
+from cairnspark.sources import fixlog
 from cairnspark.sources.keyed import KeyedTable, keep_up_to_date
 from cairnspark.sources.shared import shared_folder
 from cairnspark.streaming import location as L
@@ -111,3 +112,29 @@ def history_sink(s, d):
     for version, part in ((0, 0), (1, 1), (1, 1)):
         table.upsert(e.where(F.col("event_id") % 2 == part), version, F.col("query"))
     return table.read()
+
+
+@query("SELECT device, epoch_us(ts) AS us, lat, lon, event_id FROM location_fix WHERE NOT (lat = 0 AND lon = 0)")
+def fixes_from_source(s, d):
+    """Valid fixes by a source with offsets: the log grows between two runs, and the second run fails and goes on."""
+    path, where = shared_folder(s, "fix-log"), shared_folder(s, "from-source")
+    half = F.col("event_id") % 2 == 0
+    failed: list[int] = []
+
+    def run():
+        fails = len(failed) == 1
+
+        def put(rows, number):
+            rows.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
+            if fails and not failed.append(2):
+                raise ConnectionError("the sink is gone")
+
+        rows = L.valid(fixlog.stream(s, path))
+        rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+
+    fixlog.append(fixes(s, d).where(half), path)
+    run()
+    failed.append(1)
+    fixlog.append(fixes(s, d).where(~half), path)
+    fixlog.kept_running(run, 1, lambda _: None)
+    return s.read.parquet(f"{where}/out").select("device", F.unix_micros("ts").alias("us"), "lat", "lon", "event_id")
