@@ -106,3 +106,34 @@ def base_name(path: Column) -> Column:
 
 def server_url(s: Column) -> Column:
     return F.rtrim(s, F.lit("/"))
+
+
+#: The units of a duration, in seconds.
+UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
+
+
+def duration(text: Column) -> Column:
+    """Seconds of a text such as 1h30m or -1.5s, or null; 0 needs no unit."""
+    part = r"(\d+\.?\d*|\.\d+)(ns|us|µs|ms|s|m|h)"
+    numbers, units = (F.regexp_extract_all(text, F.lit(part), F.lit(k)) for k in (1, 2))
+    scale = F.create_map(*(F.lit(v) for row in UNITS.items() for v in row))
+    total = F.aggregate(F.zip_with(numbers, units, lambda n, u: n.cast("double") * F.element_at(scale, u)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(text.rlike(r"^[+-]?0$"), 0.0).when(text.rlike(f"^[+-]?({part})+$"), F.when(text.startswith("-"), -total).otherwise(total))
+
+
+def setting(text: Column, default: float, least: float | None = None, above: float | None = None) -> Column:
+    """The duration that a setting gives; the default for one that is not read or out of bounds."""
+    seconds = duration(text)
+    good = seconds.isNotNull()
+    good = good if least is None else good & (seconds >= least)
+    good = good if above is None else good & (seconds > above)
+    return F.when(good, seconds).otherwise(default)
+
+
+def whole_setting(text: Column, default: int, least: int) -> Column:
+    number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    return F.when(number >= least, number).otherwise(default)
+
+
+def timestamp_or_null(text: Column) -> Column:
+    return F.try_to_timestamp(text)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairnspark.functions.scalars import trimmed
+
 from .tags import SYMBOLS
 
 
@@ -54,3 +56,11 @@ def route(text: str, vocabulary_loaded: bool) -> str:
             return "backendTagSuggest"
         return "noop" if vocabulary_loaded else "tagFetchDistinct"
     return "backendSuggest"
+
+
+def route_of(text: Column, vocabulary_loaded: Column) -> Column:
+    """route() as a column; a null text is empty."""
+    typed = trimmed(F.coalesce(text, F.lit("")))
+    boolean = F.substr(typed, F.lit(5)).rlike(r'(?i)\s(AND|OR)\s|"')
+    tag = F.when(boolean, "backendTagSuggest").when(vocabulary_loaded, "noop").otherwise("tagFetchDistinct")
+    return F.when(typed == "", "recent").when(F.lower(F.left(typed, F.lit(4))) == "tag:", tag).otherwise("backendSuggest")

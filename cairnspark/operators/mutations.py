@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.operators.identity import FILE_TOLERANCE, first_matches, first_of_each, matching
@@ -86,6 +86,13 @@ def import_plan(files: DataFrame, existing: DataFrame) -> DataFrame:
     from cairnspark.functions.scalars import base_name
 
     rows = files.withColumn("base", base_name(F.col("path")))
-    first = F.row_number().over(Window.partitionBy("base").orderBy(F.split("path", "/")))
+    first = rows.groupBy("base").agg(F.min_by("path", F.split("path", "/")).alias("first"))  # combines before the exchange
     known = existing.select("base", F.lit(True).alias("known")).distinct()
-    return rows.withColumn("rn", first).join(known, "base", "left").select("path", "base", F.when(F.col("known") | (F.col("rn") > 1), "skipped").otherwise("copied").alias("state"))
+    # a path that is named twice counts once
+    marked = rows.distinct().join(first, "base").join(known, "base", "left")
+    return marked.select("path", "base", F.when(F.col("known") | (F.col("path") != F.col("first")), "skipped").otherwise("copied").alias("state"))
+
+
+def skipped(plan: DataFrame) -> DataFrame:
+    """The files that an import leaves out, for its reply."""
+    return plan.where("state = 'skipped'").select("path", "base")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.functions.scalars import query_escape, trimmed
+from cairnspark.functions.scalars import float_or_zero, query_escape, trimmed
 from cairnspark.operators.identity import numbered
 
 CAP = 8
@@ -104,3 +104,36 @@ def answer_class(status: Column, body: Column) -> Column:
 
 def transient(error: Column) -> Column:
     return F.contains(error, F.lit("unexpected end of JSON")) | F.contains(error, F.lit("EOF"))
+
+
+RETRIES, MOST_RETRIES = 1, 5
+
+
+def attempts(errors: Column, retries: int = RETRIES) -> Column:
+    """How many requests are made, given the error (or null) of each in turn: a transient one is tried again, retries times at most."""
+    most = retries if 0 <= retries <= MOST_RETRIES else RETRIES
+    again = F.transform(F.slice(errors, 1, most), lambda e: F.coalesce(transient(e), F.lit(False)))
+    first = F.array_position(again, F.lit(False))
+    return F.when(first > 0, first).otherwise(F.size(again) + 1).cast("int")
+
+
+def payload(answers: Column, limit: Column) -> Column:
+    """What is stored of an answer (structs of text: display_name, lat, lon, class, type): the first limit rows as JSON, coordinates as numbers."""
+    row = lambda r: F.struct(r["display_name"].alias("display_name"), float_or_zero(r["lat"]).alias("lat"), float_or_zero(r["lon"]).alias("lon"), r["class"].alias("class"), r["type"].alias("type"))
+    return F.to_json(F.transform(F.slice(answers, 1, limit), row))
+
+
+def geocoded(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows (id, pos, display_name, lat, lon, class, type) for requests (id, query, limit, at) served through the cache.
+
+    The first request of a query with a limit above 0 fetches its answer
+    (query, answer) and stores as many rows as its limit; the cache knows the
+    query alone, so later requests get no more than that, whatever their limit.
+    Blank names are skipped when rows are read, and rows count after that.
+    """
+    asked = requests.where(F.col("limit") > 0)
+    first = asked.groupBy("query").agg(F.min_by("limit", F.struct("at", "id")).alias("stored"))
+    cache = first.join(answers, "query").select("query", payload(F.col("answer"), F.col("stored")).alias("json"))
+    rows = F.filter(F.from_json("json", PAYLOAD), lambda r: F.coalesce(r["display_name"], F.lit("")) != "")
+    served = asked.join(cache, "query").select("id", F.posexplode(F.slice(rows, F.lit(1), F.col("limit"))).alias("pos", "r"))
+    return served.select("id", "pos", "r.*")

@@ -113,3 +113,11 @@ def deleted(tags: DataFrame, gone: DataFrame) -> DataFrame:
 def entered(text):
     """The tags of a comma-separated entry, each once, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(text, ","), G.trimmed), lambda t: t != ""))
+
+
+def replies(tags: DataFrame, changed: DataFrame) -> DataFrame:
+    """Name, lat, lon and all tags, in order and enriched one by one, of the places (name, lat, lon) whose tags changed; none is left out for its likeness to another."""
+    entry = F.struct(ascii_lower(F.col("tag")).alias("k"), "tag")
+    lists = tags.groupBy(*POINT).agg(F.array_sort(F.collect_set(entry)).alias("found"))
+    rows = changed.select(*POINT).distinct().join(lists, POINT, "left")
+    return rows.select(*POINT, F.transform(F.coalesce("found", F.array().cast("array<struct<k:string,tag:string>>")), lambda s: G.enriched(s["tag"])).alias("tags"))

@@ -135,7 +135,7 @@ def list_counts(s, d):
 @query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) END AS parsed FROM events")
 def time_texts(s, d):
     text = S.now_text(F.col("ts"))
-    read = F.try_to_timestamp(F.when(F.col("event_id") % 2 == 0, text).otherwise("some day")).cast("timestamp_ntz")
+    read = S.timestamp_or_null(F.when(F.col("event_id") % 2 == 0, text).otherwise("some day")).cast("timestamp_ntz")
     return X.table(s, d, "events").select("event_id", text.alias("at"), read.alias("parsed"))
 
 

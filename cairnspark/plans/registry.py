@@ -482,4 +482,4 @@ def route_text(s, d):
     return X.table(s, d, "nation").select(F.element_at(made, F.col("n_nationkey") % 4).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 
 
-from cairnspark.plans import exchange, stored, timed  # noqa: E402, F401  they add their queries
+from cairnspark.plans import exchange, more, stored, timed  # noqa: E402, F401  they add their queries

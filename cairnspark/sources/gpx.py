@@ -40,11 +40,10 @@ def parse_gpx(files: DataFrame, source_rank: int = 0) -> DataFrame:
 
 def rebuilt(bookmarks: DataFrame, others: DataFrame) -> DataFrame:
     """Bookmarks and all other files, the first of each rounded key: by source, path by its parts, then place."""
-    from cairnspark.operators.identity import key
+    from cairnspark.operators.identity import first_of_each
 
-    rows = bookmarks.unionByName(others)
-    at = Window.partitionBy(*key()).orderBy("source_rank", F.split("path", "/"), "pos")
-    return rows.withColumn("rn", F.row_number().over(at)).where("rn = 1").drop("rn")
+    rows = bookmarks.unionByName(others).withColumn("parts", F.split("path", "/"))
+    return first_of_each(rows, "source_rank", "parts", "pos").drop("parts")
 
 
 def waypoint_xml(points: DataFrame) -> DataFrame:
