@@ -63,7 +63,8 @@ def tag_query(text: str, tags: DataFrame, points: DataFrame, cap: int | None = C
     asked = tags.where(G.normalized(F.col("tag")).isin(terms)) if terms else tags  # others decide nothing
     sets = asked.groupBy(*POINT).agg(F.collect_set(G.normalized(F.col("tag"))).alias("norms"))
     hits = sets.where(Q.matches(text, F.col("norms"))).drop("norms")
-    pairs = in_cells(hits, LIST_TOLERANCE).alias("h").join(points.alias("w"), near_in_cell("w", "h", LIST_TOLERANCE), "left")
+    named = points.join(hits.select("name").distinct(), "name", "left_semi")  # goes below a merging of points by name
+    pairs = in_cells(hits, LIST_TOLERANCE).alias("h").join(named.alias("w"), near_in_cell("w", "h", LIST_TOLERANCE), "left")
     found = pairs.groupBy(*(F.col(f"h.{c}") for c in POINT)).agg(F.min_by("w.bookmark", "w.ord").alias("own"))
     source = F.when(F.coalesce("own", F.lit(True)), "bookmark").otherwise("waypoint")
     out = found.select(*POINT, source.alias("source"), F.lit("tag").alias("class"), F.lit(mode).alias("type")).orderBy(F.lower("name"), *POINT)
