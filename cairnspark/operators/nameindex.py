@@ -48,7 +48,7 @@ class NameIndex:
         names.select(F.lower("name").alias("lname"), "name", "points").repartitionByRange(parts, "lname", "name").write.parquet(f"{path}/names")
         stored = spark.read.parquet(f"{path}/names")
         lnames = stored.select("lname").distinct()
-        lnames.select("lname", F.explode(pieces(F.col("lname"), GRAM)).alias("gram")).repartition(parts, "gram").sortWithinPartitions("gram").write.parquet(f"{path}/postings")
+        lnames.select("lname", F.explode(pieces(F.col("lname"), GRAM)).alias("gram")).repartitionByRange(parts, "gram", "lname").sortWithinPartitions("gram", "lname").write.parquet(f"{path}/postings")
         spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("size")).write.parquet(f"{path}/lists")
         below = F.concat(F.array(F.lit("")), *(pieces(F.col("lname"), n) for n in range(1, GRAM)))
         grams = stored.select("lname", "name", F.explode(below).alias("gram")).withColumn("part", F.spark_partition_id())
