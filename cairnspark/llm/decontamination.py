@@ -8,6 +8,13 @@ stored in the shared folder. The posting lists of a window's rarest terms,
 shifted by their offsets in the window, are intersected; the words around the
 rarest term then decide whether the whole window stands there.
 
+Where there are more test terms than may be broadcast, a bit filter of fixed
+size takes their place in both reads, so no token of the corpus is exchanged
+before it has passed. Frequencies are then counted before they meet the terms.
+Postings of words that only pass the filter are stored too, and meet no term
+later. Of the rarest terms, the BROADCAST_ROWS most frequent are still
+broadcast; only lists shorter than theirs are exchanged by term.
+
 Words are runs of letters and digits after A-Z are lower-cased; characters
 beyond ASCII count as letters. Terms are looked up in the lower case of all
 scripts, which is quick and misses nothing; whole windows are compared in the
@@ -16,7 +23,9 @@ case that the words have.
 Defined results: null and empty texts have no words and are clean; items
 without words give no window; repeated rows are judged alike, each with a row
 in the result; rows with equal or null doc_ids and different texts are judged
-one by one; other columns are left out.
+one by one; very long texts are searched whole; an empty table of documents
+gives no row, one of items leaves all documents clean; other columns are left
+out.
 """
 
 from __future__ import annotations
@@ -29,6 +38,8 @@ from . import common
 WINDOW, RAREST = 10, 2
 #: Test tables of up to so many rows (terms, or WINDOW words and their offsets) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Words of 64 bits in the filter of test terms, which is broadcast at any number of terms.
+FILTER_WORDS = 1 << 18
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Stands behind the last word of each document; no word equals it.
 LAST = "\n"
@@ -48,9 +59,17 @@ def word_count(words: Column) -> Column:
     return (F.size(words) - edge(1) - F.when(F.size(words) > 1, edge(-1)).otherwise(0)).cast("long")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, broadcast if it has few rows; rows must be those of df itself."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def bits_of(terms: DataFrame) -> DataFrame:
+    """slot, bits: a filter of terms with one hash, FILTER_WORDS rows at most."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term) div {FILTER_WORDS}, 64) as int))")
+    return terms.select(F.pmod(F.xxhash64("term"), F.lit(FILTER_WORDS)).alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def passing(tokens: DataFrame, bits: DataFrame) -> DataFrame:
+    """The tokens whose term may be one of the filter's; no term of it is missed."""
+    keyed = tokens.withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(FILTER_WORDS)))
+    met = keyed.join(F.broadcast(bits), "slot")
+    return met.where(F.expr(f"getbit(bits, cast(pmod(xxhash64(term) div {FILTER_WORDS}, 64) as int)) = 1")).drop("slot", "bits")
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -64,7 +83,7 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
 class PositionalIndex:
     """Postings of the rarest terms of each window, over all documents.
 
-    terms: win, term, offset, rank (1: rarest), lists (ranks of the window), words.
+    terms: win, term, offset, df, rank (1: rarest), lists (ranks of the window), words.
     postings: doc_id, text_key, n_words, term, pos, around, around_from. The
     term LAST has one row for each row of the documents.
     """
@@ -79,12 +98,15 @@ class PositionalIndex:
         vocabulary = positions.select("term").distinct()
         n = vocabulary.count()
         found = docs.select(F.explode(raw_words(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
-        frequency = found.join(small(vocabulary, n), "term").groupBy("term").agg(F.count("*").alias("df"))
+        if n <= BROADCAST_ROWS:
+            frequency = found.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
+        else:
+            frequency = passing(found, bits_of(vocabulary)).groupBy("term").agg(F.count("*").alias("df")).join(vocabulary, "term")
         order = Window.partitionBy("win").orderBy("df", "term")
         size = F.count("*").over(Window.partitionBy("win"))
         ranked = positions.join(frequency, "term", "left").withColumn("seen", F.count("df").over(Window.partitionBy("win"))).withColumn("distinct", size)
         ranked = ranked.where(F.col("seen") == F.col("distinct")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rarest)
-        terms = common.stored(ranked.select("win", "term", "offset", "rank", F.least("distinct", F.lit(rarest)).alias("lists"), "words"), "rarest-terms")
+        terms = common.stored(ranked.select("win", "term", "offset", "df", "rank", F.least("distinct", F.lit(rarest)).alias("lists"), "words"), "rarest-terms")
         n_terms = terms.count()
         wanted = terms.select("term").distinct().union(docs.sparkSession.range(1).select(F.lit(LAST).alias("term")))
         rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), raw_words(F.col("text")).alias("words"))
@@ -92,15 +114,26 @@ class PositionalIndex:
         tokens = rows.select("doc_id", "text_key", "n_words", "words", F.posexplode(F.array_append("words", F.lit(LAST))).alias("pos", "word")).withColumn("term", F.lower("word"))
         low = F.greatest(F.col("pos") - (window - 1), F.lit(0))
         around = F.when(F.col("term") != LAST, F.slice("words", low + 1, F.col("pos") - low + window))
-        postings = tokens.join(small(wanted, n_terms + 1), "term").select("doc_id", "text_key", "n_words", "term", "pos", around.alias("around"), low.alias("around_from"))
+        met = tokens.join(F.broadcast(wanted), "term") if n_terms <= BROADCAST_ROWS else passing(tokens, bits_of(wanted))
+        postings = met.select("doc_id", "text_key", "n_words", "term", "pos", around.alias("around"), low.alias("around_from"))
         return cls(terms, n_terms, common.stored(postings, "postings"), window)
 
     def documents(self) -> DataFrame:
         return self.postings.where(F.col("term") == LAST).select("doc_id", "text_key", "n_words")
 
+    def lists(self, terms: DataFrame) -> DataFrame:
+        """The postings of terms, each with its rows of terms."""
+        postings = self.postings.where(F.col("term") != LAST)
+        if self.n_terms <= BROADCAST_ROWS:
+            return postings.join(F.broadcast(terms), "term")
+        limit = terms.select("df").orderBy(F.desc("df")).offset(BROADCAST_ROWS).limit(1).agg(F.max("df")).first()[0] or 0
+        often, rest = terms.where(F.col("df") > limit), terms.where(F.col("df") <= limit)
+        short = postings.join(F.broadcast(often.select("term").distinct()), "term", "left_anti")
+        return postings.join(F.broadcast(often), "term").unionByName(short.join(rest, "term"))
+
     def exact(self) -> DataFrame:
         """doc_id, text_key, win, start, length of each place where a whole window stands."""
-        lists = self.postings.where(F.col("term") != LAST).join(small(self.terms, self.n_terms), "term")
+        lists = self.lists(self.terms)
         start = F.col("pos") - F.col("offset")
         whole = F.when((F.col("rank") == 1) & (start >= F.col("around_from")), lowered(F.slice("around", F.greatest(start - F.col("around_from"), F.lit(0)) + 1, F.size("words"))) == F.col("words"))
         adjusted = lists.where(start >= 0).select("doc_id", "text_key", "win", start.alias("start"), F.size("words").alias("length"), "rank", "lists", whole.alias("whole")).where((F.col("rank") > 1) | F.col("whole"))
@@ -111,7 +144,7 @@ class PositionalIndex:
         """doc_id, text_key, win, pos of each place of a window's rarest term with all its words, in any order, at most slop words away (slop below the window's length)."""
         if not 0 < slop < self.window:
             raise ValueError("slop must be from 1 to the window's length less 1")
-        lists = self.postings.where(F.col("term") != LAST).join(small(self.terms.where("rank = 1"), self.n_terms), "term")
+        lists = self.lists(self.terms.where("rank = 1"))
         low = F.greatest(F.col("pos") - slop, F.lit(0))
         words = lowered(F.slice("around", low - F.col("around_from") + 1, F.col("pos") - low + slop + 1))
         return lists.where(F.size(F.array_except("words", words)) == 0).select("doc_id", "text_key", "win", "pos")
