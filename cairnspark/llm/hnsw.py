@@ -13,7 +13,8 @@ non-finite components take no part, nor do rows with a null id; vectors of
 different lengths are no neighbours; rows with equal ids and vectors count
 once; rows with equal ids and different vectors are neighbours of their own,
 never of each other, and as queries give one list of the k nearest of all of
-them; other columns are left out.
+them; an empty table, of rows or of queries, gives no row; other columns are
+left out.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ with a few array lookups a byte.
 Defined results: null texts and texts without a letter are ``und`` with score
 0; equal code lengths go to the language that sorts first; without labelled
 rows all is ``und``. Rows are judged one by one, so repeated ids and null ids
-make no difference, and other columns are passed through.
+make no difference, and other columns are passed through; very long texts are
+read whole, in slices; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ there can gain on those outside, whatever stands around them (see
 ``Scorer.__init__``), so the result is that of Viterbi over the whole text.
 
 Defined results: null and empty texts have no spans; offsets are code points,
-the end exclusive; rows are judged one by one, so repeated or null ids and
-other columns make no difference.
+the end exclusive; very long texts are scanned whole; rows are judged one by
+one, so repeated or null ids and other columns make no difference; an empty
+table gives no row.
 """
 
 from __future__ import annotations

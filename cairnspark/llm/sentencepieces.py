@@ -14,8 +14,11 @@ the place. Short units are remembered, so each frequent word is encoded once
 in a worker, or where encode() shares it with other stages, in a task.
 
 Defined results: null and empty texts have no ids; characters without a piece
-become byte pieces; rows are encoded one by one, so repeated ids, null ids and
-other columns make no difference.
+become byte pieces; very long texts are encoded whole; rows are encoded one by
+one, so repeated ids and null ids make no difference; an empty table gives no
+row. digests() leaves other columns out. encode() passes them through and takes
+the names of its new columns as they are, so where the table may have them
+already, ask common.free_name() for others, as the pipeline's stages do.
 """
 
 from __future__ import annotations

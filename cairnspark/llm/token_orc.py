@@ -11,9 +11,10 @@ The tokenizer runs on one word at a time and remembers them: this vocabulary's
 normalizer and splitting rule never look across white space. New words of plain
 letters are merged together, one piece after another. A text that holds the string of a special token is encoded as a whole.
 
-Defined results: null and empty texts hold the end id alone; null doc_ids come
-first; rows with equal doc_ids are ordered by their text. Other columns are
-left out.
+Defined results: null and empty texts hold the end id alone; very long texts
+are encoded whole; null doc_ids come first; rows with equal doc_ids are ordered
+by their text, nulls first; an empty table gives files without rows, and no row
+when they are read. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
