@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.operators.ranking import ranked
 from cairnspark.sources.shared import shared_folder
 
 MISS = "struct<t:bigint,id:bigint,failed:boolean>"
@@ -73,8 +74,28 @@ def outcomes(log: DataFrame, block: int, latency: int, memory_ttl: int, disk_ttl
     return met.withColumn("outcome", ends).select(*log.columns, "outcome")
 
 
+def limited(log: DataFrame, latency: int, most: int) -> DataFrame:
+    """log as outcomes() gives it with disk_ttl 0, where memory holds most tiles; evicts tells the misses whose store puts one out.
+
+    The disk keeps all, so each tile is stored once, and memory holds the tiles
+    stored last; hits do not renew them. The tile of store k goes when store
+    k + most comes, in order of time and event_id: stores are numbered, and
+    meet by number. From then on the disk answers. Only tiles that go are
+    joined, one row each.
+    """
+    if most < 1:
+        raise ValueError("memory must hold a tile")
+    stores = log.where((F.col("outcome") == "miss") & ~F.col("failed")).select("tile", (F.col("t") + latency).alias("at"), "event_id")
+    numbered = ranked(stores, "number", "at", "event_id")
+    later = numbered.select((F.col("number") - most).alias("number"), F.col("at").alias("gone_at"), F.col("event_id").alias("by"))
+    gone = numbered.select("tile", "number").join(later, "number").select(F.col("tile").alias("gone"), "gone_at", "by")
+    met = log.join(gone.select("gone", "gone_at"), F.col("tile") == F.col("gone"), "left").join(gone.select("by"), F.col("event_id") == F.col("by"), "left")
+    ends = F.when((F.col("outcome") == "mem-hit") & (F.col("t") >= F.col("gone_at")), "disk-hit").otherwise(F.col("outcome"))
+    return met.withColumn("outcome", ends).select(*log.columns, F.col("by").isNotNull().alias("evicts"))
+
+
 def counters(log: DataFrame) -> DataFrame:
-    """Requests, hits of memory and disk, hits of disk, waits, misses, and of those what was stored and what failed."""
+    """Requests, hits of memory and disk, hits of disk, waits, misses, of those what was stored and what failed, and evictions if the log tells them."""
     n = lambda *names: F.count_if(F.col("outcome").isin(*names))
     miss = F.col("outcome") == "miss"
-    return log.agg(F.count("*").alias("n"), n("mem-hit", "disk-hit").alias("hits"), n("disk-hit").alias("disk_hits"), n("wait-hit").alias("waits"), F.count_if(miss).alias("misses"), F.count_if(miss & ~F.col("failed")).alias("stored"), F.count_if(miss & F.col("failed")).alias("errors"))
+    return log.agg(F.count("*").alias("n"), n("mem-hit", "disk-hit").alias("hits"), n("disk-hit").alias("disk_hits"), n("wait-hit").alias("waits"), F.count_if(miss).alias("misses"), F.count_if(miss & ~F.col("failed")).alias("stored"), F.count_if(miss & F.col("failed")).alias("errors"), *([F.count_if("evicts").alias("evictions")] if "evicts" in log.columns else []))

@@ -85,9 +85,9 @@ OUTCOMES = f"""(WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (P
         FROM walk w JOIN q ON q.tile = w.tile AND q.rn = w.rn + 1) q) SELECT * FROM walk)"""
 
 
-def accesses(s, d):
+def accesses(s, d, tiles=97):
     k = F.col("event_id")
-    return X.table(s, d, "events").select(k, F.when(k % 3 == 0, 0).otherwise(k % 97).alias("tile"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), (k % 9 == 4).alias("failed"))
+    return X.table(s, d, "events").select(k, F.when(k % 3 == 0, 0).otherwise(k % tiles).alias("tile"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"), (k % 9 == 4).alias("failed"))
 
 
 @query(f"SELECT event_id, tile, outcome FROM {OUTCOMES}")
@@ -101,6 +101,25 @@ def cache_replay_stats(s, d):
     return tilecache.counters(tilecache.outcomes(accesses(s, d), 4 * 86_400, **RULE))
 
 
+#: Memory keeps ten days and 100 of 997 tiles, the disk all.
+KEPT = OUTCOMES.replace("event_id % 97 ", "event_id % 997 ").replace("q.t < w.missed + 1800 + 108000", "true").replace("21600", "864000")
+LIMITED = f"""(WITH o AS (SELECT * FROM {KEPT}), s AS (SELECT tile, event_id, t + 1800 AS u, row_number() OVER (ORDER BY t + 1800, event_id) AS r FROM o WHERE outcome = 'miss' AND NOT failed),
+    e AS (SELECT a.tile, b.u FROM s a JOIN s b ON b.r = a.r + 100)
+    SELECT o.event_id, o.tile, o.failed, CASE WHEN outcome = 'mem-hit' AND t >= e.u THEN 'disk-hit' ELSE outcome END AS outcome, coalesce(s.r > 100, false) AS evicts FROM o LEFT JOIN e ON e.tile = o.tile LEFT JOIN s ON s.event_id = o.event_id)"""
+
+
+@query(f"SELECT event_id, tile, outcome, evicts FROM {LIMITED}")
+def cache_limited(s, d):
+    kept = tilecache.outcomes(accesses(s, d, 997), 4 * 86_400, 1800, 864_000)
+    return tilecache.limited(kept, 1800, 100).select("event_id", "tile", "outcome", "evicts")
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (outcome IN ('mem-hit', 'disk-hit')) AS hits, count(*) FILTER (outcome = 'disk-hit') AS disk_hits, count(*) FILTER (outcome = 'wait-hit') AS waits,
+    count(*) FILTER (outcome = 'miss') AS misses, count(*) FILTER (outcome = 'miss' AND NOT failed) AS stored, count(*) FILTER (outcome = 'miss' AND failed) AS errors, count(*) FILTER (evicts) AS evictions FROM {LIMITED}""")
+def cache_limited_stats(s, d):
+    return tilecache.counters(tilecache.limited(tilecache.outcomes(accesses(s, d, 997), 4 * 86_400, 1800, 864_000), 1800, 100))
+
+
 HISTORY = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("query", T.StringType())])
 
 

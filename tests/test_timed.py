@@ -1,5 +1,6 @@
 """Streams in event time, spacing, cache replay and keyed tables against plain folds."""
 
+import heapq
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -143,3 +144,40 @@ def test_cache_replay_against_a_plain_cache(spark, disk_ttl):
     assert {r.event_id: r.outcome for r in out.collect()} == want and set(want.values()) >= {"miss", "mem-hit", "wait-hit", "wait-error"}
     assert tilecache.counters(out).first().misses == list(want.values()).count("miss")
     assert tilecache.outcomes(df.limit(0), 60, 4, 15, disk_ttl).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 5, 400])
+def test_evictions_against_a_plain_cache(spark, most):
+    rng = random.Random(most)
+    log = [(rng.choice([0, 0, rng.randrange(60)]), rng.randrange(300), k, rng.random() < 0.3) for k in range(700)]
+    want, memory, disk, flights, evicting = {}, {}, set(), [], set()
+
+    def land(until):
+        while flights and flights[0][0] <= until:
+            at, k, tile, failed = heapq.heappop(flights)
+            if not failed:
+                memory[tile] = at
+                disk.add(tile)
+                if len(memory) > most:
+                    del memory[next(iter(memory))]  # stored first
+                    evicting.add(k)
+
+    for tile, t, k, failed in sorted(log, key=lambda r: (r[1], r[2])):
+        land(t)
+        flight = next((f for f in flights if f[2] == tile), None)
+        if tile in memory and t - memory[tile] < 150:
+            want[k] = "mem-hit"
+        elif tile in disk:
+            want[k] = "disk-hit"
+        elif flight:
+            want[k] = "wait-error" if flight[3] else "wait-hit"
+        else:
+            want[k] = "miss"
+            heapq.heappush(flights, (t + 4, k, tile, failed))
+    land(10**9)
+    df = spark.createDataFrame([*log, (None, 1, 902, False)], "tile long, t long, event_id long, failed boolean").repartition(3)
+    out = tilecache.limited(tilecache.outcomes(df, 60, 4, 150), 4, most)
+    rows = out.collect()
+    assert {r.event_id: r.outcome for r in rows} == want and {r.event_id for r in rows if r.evicts} == evicting
+    assert tilecache.counters(out).first().evictions == len(evicting) == max(0, len(disk) - most)
+    assert tilecache.limited(tilecache.outcomes(df.limit(0), 60, 4, 150), 4, most).count() == 0
