@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; its result is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Defined results: null and empty texts, and those without a letter, go in the
+first stage; rows with a null doc_id are never copies of others, and are judged
+by the other stages like any row; of rows with equal doc_ids each is judged by
+its own text, and of rows alike in both one stays; very long texts are read
+whole by every stage; an empty table gives no row; extra columns stay, and
+where they have the names of added ones (ids, decoded) these get underscores.
 """
 
 from __future__ import annotations
