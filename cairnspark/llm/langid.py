@@ -8,6 +8,13 @@ uniform choice of 256. Contexts that a language never saw cost nothing and are
 skipped. The code length of a text is the exact sum over its bytes, and the
 language of the shortest code wins.
 
+A text is in no language if its contexts tell nothing: the shortest code is
+longer than that of a coder without contexts (the frequencies of bytes in all
+training texts together, or 8 bits a byte where those do worse), and so are the
+codes of more than half of its words, taken one by one, in every language. The
+second test keeps texts with a long secret or in two languages; neither has a constant that is set by hand, and
+both are the same for texts of every length.
+
 The trees of all languages are laid out as tables, one row for each context
 and byte with a code length per language, so that a batch of texts is scored
 with a few array lookups a byte.
@@ -34,9 +41,8 @@ ORDER = 3
 #: The classifier is fitted on a bounded sample: whole texts of so many labelled rows for each language.
 SAMPLE_PER_LANG = 400
 SLICE = 1 << 20
-#: A text is in no language if its shortest code takes more than FOREIGN bits a byte (8 are those of a coder that
-#: knows nothing) and, so that a short text may hold a secret or two, MARGIN bits. The most in check_l is 9.1 a byte.
-FOREIGN, MARGIN = 11.0, 256.0
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -59,18 +65,22 @@ def training_rows(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> list[tupl
 class PpmModel:
     """Frozen context trees of several languages as lookup tables."""
 
-    def __init__(self, langs, symbol, n_symbols, context_rows, bases, costs):
-        self.langs, self.symbol, self.n_symbols = langs, symbol, n_symbols
+    def __init__(self, langs, symbol, n_symbols, context_rows, bases, costs, plain):
+        self.langs, self.symbol, self.n_symbols, self.plain = langs, symbol, n_symbols, plain
         self.context_rows, self.bases, self.costs = context_rows, bases, costs
 
     @classmethod
     def fit(cls, rows: list[tuple[str, bytes]]) -> PpmModel:
         langs = sorted({lang for lang, _ in rows})
         if not langs:
-            return cls([], np.zeros(256, np.int64), 1, [], [], np.zeros((0, 0), np.float32))
-        seen = np.zeros(256, bool)
+            return cls([], np.zeros(256, np.int64), 1, [], [], np.zeros((0, 0), np.float32), np.full(256, 8.0))
+        counts = np.zeros(256)
         for _, text in rows:
-            seen[np.frombuffer(text, np.uint8)] = True
+            counts += np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+        seen = counts > 0
+        n, q = counts.sum(), max(1, int(seen.sum()))
+        plain = np.full(256, np.log2(n + q) - np.log2(q) + 8.0)  # an escape and a uniform byte, as in the trees
+        plain[seen] = np.log2(n + q) - np.log2(counts[seen])
         a = int(seen.sum()) + 1  # the last symbol stands for all bytes that training never saw
         symbol = np.full(256, a - 1, np.int64)
         symbol[seen] = np.arange(a - 1)
@@ -107,7 +117,7 @@ class PpmModel:
             base += len(contexts) * a
             shorter, shorter_rows = cost, row.astype(np.int64)
         costs = np.ascontiguousarray(np.concatenate(tables).T.astype(np.float32))
-        return cls(langs, symbol, a, context_rows, bases, costs)
+        return cls(langs, symbol, a, context_rows, bases, costs, plain)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text in each language: rows by languages."""
@@ -154,36 +164,51 @@ class PpmModel:
             first = last
         return bits
 
+    def plain_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of each text without any context: by the bytes' frequencies, or 8 a byte where that is less."""
+        sums = np.concatenate([[0.0], np.cumsum(self.plain[data])])
+        return np.minimum(sums[offsets[1:]] - sums[offsets[:-1]], 8.0 * np.diff(offsets))
+
+    def words_told(self, data: np.ndarray) -> bool:
+        """Whether contexts of some language shorten the codes of half of a text's words or more; a word has the white space behind it."""
+        white = WHITE[data]
+        starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+        cuts = np.append(starts, len(data))
+        return 2 * int((self.code_lengths(data, cuts).min(axis=1) <= self.plain_lengths(data, cuts)).sum()) >= len(starts)
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """By text its language, the score, and the bits a byte that the language takes."""
+        """By text its language, the score, and whether it is in any language at all."""
         data, offsets = common.texts_of(texts)
         values = texts.to_pylist()
         letters = np.array([bool(v and LETTER.search(v)) for v in values], bool)
         if not self.langs:
-            return ["und"] * len(values), np.zeros(len(values)), np.zeros(len(values))
+            return ["und"] * len(values), np.zeros(len(values)), np.zeros(len(values), bool)
         bits = self.code_lengths(data, offsets)
         best = bits.argmin(axis=1)
         shortest = bits[np.arange(len(bits)), best]
         share = 1.0 / np.exp2(np.maximum(shortest[:, None] - bits, -1000.0)).sum(axis=1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, share, 0.0), shortest / np.maximum(1, np.diff(offsets))
+        told = letters & (shortest <= self.plain_lengths(data, offsets))
+        for k in np.flatnonzero(letters & ~told):
+            told[k] = self.words_told(data[offsets[k] : offsets[k + 1]])
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, share, 0.0), told
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> PpmModel:
     return PpmModel.fit(training_rows(docs, per_lang))
 
 
-def identify(docs: DataFrame, model: PpmModel, text: str = "text", pred: str = "lang_pred", score: str = "score", rate: str | None = None) -> DataFrame:
-    """docs with the predicted language of each whole text, its share of 2^-bits among the languages and, if asked for, its bits a byte."""
+def identify(docs: DataFrame, model: PpmModel, text: str = "text", pred: str = "lang_pred", score: str = "score", told: str | None = None) -> DataFrame:
+    """docs with the predicted language of each whole text, its share of 2^-bits among the languages and, if asked for, whether the text is in any of them at all."""
     spark = docs.sparkSession
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = common.with_columns(docs.schema, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False), *([T.StructField(rate, T.DoubleType(), False)] if rate else []))
+    schema = common.with_columns(docs.schema, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False), *([T.StructField(told, T.BooleanType(), False)] if told else []))
 
     def run(batches):
         ppm = shared.value
         for b in batches:
-            langs, *numbers = ppm.predict(b.column(b.schema.get_field_index(text)))
-            more = [pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers[: 1 + bool(rate)])]
+            langs, shares, known = ppm.predict(b.column(b.schema.get_field_index(text)))
+            more = [pa.array(langs, pa.string()), pa.array(shares, pa.float64()), *([pa.array(known, pa.bool_())] if told else [])]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=schema.names)
 
     return docs.mapInArrow(common.trimmed(run), schema)
@@ -196,11 +221,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are in no language; others keep their columns.
-
-    Those are the texts without a letter, and the ones with too long a code in
-    every language, by FOREIGN and MARGIN.
-    """
-    pred, score, rate = (common.free_name(docs, c) for c in ("lang_pred", "score", "rate"))
-    told = identify(docs, fit(docs), pred=pred, score=score, rate=rate)
-    return told.where((F.col(pred) != "und") & ((F.col(rate) - FOREIGN) * F.octet_length("text") < MARGIN)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Drops documents that are in no language, those without a letter among them; others keep their columns."""
+    pred, score, told = (common.free_name(docs, c) for c in ("lang_pred", "score", "told"))
+    return identify(docs, fit(docs), pred=pred, score=score, told=told).where(told).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,12 +91,19 @@ def plain_pipeline(rows, items):
     labelled = sorted({(lang, text.encode()) for doc_id, text, lang, *_ in rows if None not in (doc_id, text, lang) and zlib.crc32(str(doc_id).encode()) % 5})
     model = langid.PpmModel.fit(labelled)
 
+    freq = Counter(b for _, t in labelled for b in t)
+    n, q = sum(freq.values()), len(freq)
+
+    def plain(t):
+        return min(8.0 * len(t), sum(np.log2((n + q) / freq[b]) if b in freq else np.log2((n + q) / q) + 8.0 for b in t))
+
     def has_language(text):
         if not text or not any(c.isalpha() for c in text):
             return False
-        size = len(text.encode())
-        bits = model.code_lengths(np.frombuffer(text.encode(), np.uint8), np.array([0, size])).min()
-        return bits - langid.FOREIGN * size < langid.MARGIN
+        bits = lambda t: model.code_lengths(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+        data = text.encode()
+        told = [bits(w).min() <= plain(w) for w in re.findall(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", data)]
+        return bits(data).min() <= plain(data) or 2 * sum(told) >= len(told)
 
     rows = in_order(r for r in rows if has_language(r[1]))
     named = [r for r in rows if r[0] is not None]
