@@ -2,9 +2,12 @@
 
 The patterns (assignments, access keys, long hexadecimal runs) give the base
 spans. The field tags each token as begin, inside or outside of a secret from
-its shape, the words beside it and features of the file, with weights fitted by
-maximum likelihood on generated lines, and is decoded by Viterbi; the spans it
-adds are of kind ``crf``, where no base span lies.
+its shape, the words and signs beside it and features of the file, with weights
+fitted by maximum likelihood on generated lines, and is decoded by Viterbi; the
+spans it adds are of kind ``crf``, where no base span lies. What the patterns
+miss and it is fitted for: codes by their shape, values behind other words than
+the patterns', passwords in connection strings (scheme://user:password@host), and
+the lines of PEM blocks that hold private keys.
 
 Every token may begin a secret, and one glued to the token before it may
 continue one; the weights alone decide. All tokens are scored, with array
@@ -43,6 +46,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TOKEN = re.compile(r"[\w+/-]+|[^\s\w+/-]")
 CHUNKS = re.compile(r"\S+")
 WORD = re.compile(r"[A-Za-z]{2,}")
+#: Tokens of a PEM body have so many characters or more.
+PEM_LINE = 16
 OUT, BEGIN, INSIDE = 0, 1, 2
 STARTS = (0.0, 0.0, -math.inf)
 #: Words after which shapes weigh differently.
@@ -95,15 +100,29 @@ def features(tokens: list[str], glued: list[bool], k: int, file: tuple[str, ...]
     before = [w.lower() for w in tokens[max(0, k - 4) : k] if is_word(w)][-2:]
     out = own_features(tokens[k]) + (led_features(tokens[k]) if LEADS.intersection(before) else []) + [f"glued={glued[k]}"]
     out += [f"before={w}" for w in before]
-    if k + 1 < len(tokens) and is_word(tokens[k + 1]):
+    if k + 1 < len(tokens) and told_after(tokens[k + 1]):
         out.append(f"after={tokens[k + 1].lower()}")
+    if k > 1 and tokens[k - 2].startswith("//"):
+        out.append("authority")
     out.append(f"mark={tokens[k - 1] if k and not tokens[k - 1].isalnum() else ''}")
-    return out + list(file)
+    return out + list(file) + pem_features(file, len(tokens[k]) >= PEM_LINE)
+
+
+def told_after(token: str) -> bool:
+    """Whether a token tells something of the one before it: words, and the sign that ends the password of a connection string."""
+    return token == "@" or is_word(token)
+
+
+def pem_features(file: tuple[str, ...], long: bool) -> list[str]:
+    """What a block of the file tells of a long token."""
+    return [f"long:{f}" for f in file if long and f.startswith("file:pem")]
 
 
 def file_features(n_chunks: int, n_core: int, text: str) -> tuple[str, ...]:
     """Of the numbers of chunks and of those with a token that looks like a code, and of the text."""
-    return (f"file:core={min(5, int(math.log2(1 + n_core)))}", f"file:dense={10 * n_core >= n_chunks}", f"file:equals={'=' in text}", f"file:key={'key' in text.lower()}")
+    block = "-----BEGIN" in text
+    pem = ("private" if "PRIVATE KEY-----" in text else "public") if block else "none"
+    return (f"file:pem={pem}", f"file:core={min(5, int(math.log2(1 + n_core)))}", f"file:dense={10 * n_core >= n_chunks}", f"file:equals={'=' in text}", f"file:key={'key' in text.lower()}", f"file:url={'://' in text}")
 
 
 def file_of(text: str) -> tuple[str, ...]:
@@ -281,11 +300,69 @@ def harder_lines(n: int, seed: int = 8) -> list[tuple[str, list[tuple[int, int]]
     return lines
 
 
+def placed_lines(n: int, seed: int = 9) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Invented texts whose secrets are told by their place: passwords of connection strings and lines of private keys; and the like without any."""
+    rnd = random.Random(seed)
+    pick = lambda alphabet, k: "".join(rnd.choice(alphabet) for _ in range(k))
+    low, word = string.ascii_lowercase, string.ascii_letters + string.digits
+    syllables = ("th", "en", "ou", "er", "la", "de", "ti", "on", "ra", "que", "sun", "win", "ter", "mar", "db", "app")
+    name = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3)))
+    host = lambda: rnd.choice((lambda: name(), lambda: f"{name()}.{name()}.{rnd.choice(('org', 'net', 'internal', 'com'))}", lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)), lambda: f"{name()}-{name()}.{name()}.com"))() + rnd.choice(("", "", f":{rnd.randint(80, 65000)}"))
+    path = lambda: "".join("/" + rnd.choice((name, lambda: pick(word, 5), lambda: str(rnd.randint(0, 9999))))() for _ in range(rnd.randint(0, 3))) + rnd.choice(("", "", "?" + name() + "=" + name(), ".html"))
+    user = lambda: rnd.choice((name, name, lambda: name() + "_" + name(), lambda: name() + "-" + name(), lambda: name() + str(rnd.randint(0, 99)), lambda: ""))()
+    values = (
+        lambda: pick(word, rnd.randint(6, 24)), lambda: name() + str(rnd.randint(0, 9999)), lambda: name().title() + name().title() + str(rnd.randint(0, 99)), lambda: name() + name(), lambda: pick(low, rnd.randint(5, 12)), lambda: pick(word, 4) + "%40" + pick(word, 4),
+    )
+    schemes = ("postgres", "postgresql", "mysql", "redis", "rediss", "amqp", "mongodb", "mongodb+srv", "http", "https", "ftp", "sftp", "ssh", "smtp", "ldap", "jdbc:mysql")
+    prose = lambda k: " ".join(name() for _ in range(rnd.randint(0, k)))
+    clear = (
+        lambda: f"{rnd.choice(schemes)}://{host()}{path()}", lambda: f"{rnd.choice(schemes)}://{user() or 'git'}@{host()}{path()}", lambda: f"mailto:{name()}@{host()}", lambda: f"git@{host()}:{name()}{path()}",
+        lambda: f"{name()}@{name()}.org", lambda: f"{name()}: {name()}@{name()}.net", lambda: f"@{name()}", lambda: f"{rnd.randint(1, 12)}:{rnd.randint(10, 59)} @ {name()}", lambda: f"{name()}:{name()}", lambda: f"{name()}:{rnd.randint(1, 9999)}/{name()}",
+        lambda: f"//{name()}.js:{rnd.randint(1, 999)}:{rnd.randint(1, 99)}", lambda: f"{name()}@{rnd.randint(0, 9)}.{rnd.randint(0, 20)}.{rnd.randint(0, 20)}", lambda: f"// {name()}: {name()}",
+        lambda: rnd.choice(("*", "**", "_", "`")).join(("", name(), "")),
+    )
+    cases = (str, str.title, str.upper)
+    marked = lambda case: " ".join((case or rnd.choice(cases))(name()) + rnd.choice(("", "", "", ".", ",", "." + (case or str)(name()), "," + (case or str)(name()))) + rnd.choice("*$%&#|<>!?~^") * rnd.randint(0, 4) for _ in range(rnd.randint(1, 12)))
+    lines = []
+    for _ in range(n):
+        text, spans = prose(6), []
+        if rnd.random() < 0.4:
+            lines.append((marked(rnd.choice((None, *cases))), spans))
+            continue
+        if rnd.random() < 0.25:
+            private, kind = rnd.random() < 0.6, rnd.choice(("RSA ", "EC ", "", "OPENSSH ", "DSA ", "ENCRYPTED "))
+            title = f"{kind}PRIVATE KEY" if private else rnd.choice(("CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP SIGNATURE"))
+            width, text = rnd.choice((48, 64, 64, 76)), text + f"\n-----BEGIN {title}-----\n"
+            for k in range(rows := rnd.randint(1, 5)):
+                line = pick(word + "+/", width if k + 1 < rows else rnd.randint(20, width)) + ("" if k + 1 < rows else rnd.choice(("", "=", "==")))
+                if private:
+                    spans.append((len(text), len(text) + len(line)))
+                text += line + "\n"
+            lines.append((text + f"-----END {title}-----\n{prose(6)}", spans))
+            continue
+        for _ in range(rnd.randint(1, 3)):
+            text += " " + rnd.choice(("", "", name() + "=", name().upper() + "_URL=", "url: ", '"'))
+            if rnd.random() < 0.5:
+                value, basic = rnd.choice(values)(), rnd.random()
+                if basic < 0.1:
+                    head, value, tail = "Authorization: Basic ", pick(word, rnd.randint(12, 30)) + rnd.choice(("", "=", "==")), ""
+                else:
+                    head, tail = f"{rnd.choice(schemes)}://{user()}:", f"@{host()}{path()}"
+                text += head
+                spans.append((len(text), len(text) + len(value)))
+                text += value + tail
+            else:
+                text += rnd.choice(clear)()
+            text += " " + prose(5)
+        lines.append((text, spans))
+    return lines
+
+
 @lru_cache(maxsize=1)
-def trained(lines: int = 1500, rounds: int = 4) -> Crf:
+def trained(lines: int = 2000, placed: int = 1200, rounds: int = 5) -> Crf:
     crf = Crf({}, [[0.0, 0.0, -math.inf], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
     samples = []
-    for text, spans in generated_lines(lines) + harder_lines(lines):
+    for text, spans in generated_lines(lines) + harder_lines(lines) + placed_lines(placed):
         tokens, glued, spots = split_tokens(text)
         may, gold, file = states(tokens, glued), [OUT] * len(tokens), file_of(text)
         for a, b in spans:
@@ -313,6 +390,7 @@ class Scorer(dict):
         self.inside = max(m[x][INSIDE] for x in (BEGIN, INSIDE)) - m[OUT][OUT]
         self.lead_of = {f: (b - o, i - o) for f, (o, b, i) in crf.weights.items()}
         self.glued, self.loose = self._gain(["glued=True"]), self._gain(["glued=False"])
+        self.authority = self._gain(["authority"])
         self.no_mark = np.array(self._gain(["mark="]))
         self.words: dict[str, int] = {}
         self.shapes: dict[tuple, list[float]] = {}
@@ -321,7 +399,7 @@ class Scorer(dict):
     def _clear(self) -> None:
         self.clear()
         self.words.clear()
-        self.table, self.flags = np.zeros((1024, 10)), np.zeros((1024, 2), bool)
+        self.table, self.flags = np.zeros((1024, 12)), np.zeros((1024, 3), bool)
         self.first, self.count, self.core, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool), np.zeros(1024, np.int64), 0
 
     def _gain(self, names: list[str]) -> list[float]:
@@ -351,10 +429,9 @@ class Scorer(dict):
                 self.table, self.flags = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.flags, np.zeros_like(self.flags)])
             get, none, low = self.lead_of.get, (0.0, 0.0), t.lower()
             word = is_word(t)
-            before, after = (get(f"before={low}", none), get(f"after={low}", none)) if word else (none, none)
-            self.table[k] = (*self._own(t), *before, *after, *get("mark=" if t.isalnum() else f"mark={t}", none))
-            if word:
-                self.flags[k] = True, low in LEADS
+            before, after = get(f"before={low}", none) if word else none, get(f"after={low}", none) if told_after(t) else none
+            self.table[k] = (*self._own(t), *before, *after, *get("mark=" if t.isalnum() else f"mark={t}", none), *(self.authority if t.startswith("//") else none))
+            self.flags[k] = word, word and low in LEADS, len(t) >= PEM_LINE
         return k
 
     def __missing__(self, chunk: str) -> int:
@@ -381,8 +458,10 @@ class Scorer(dict):
         tokens = self.flat[np.repeat(self.first[ids] - starts, n) + np.arange(int(n.sum()))]
         glued = np.ones(len(tokens), bool)
         glued[starts] = False
-        x, (word, lead) = self.table[tokens], self.flags[tokens].T
-        out = np.where(glued[:, None], self.glued, self.loose) + self._gain(list(file_features(len(chunks), int(self.core[ids].sum()), text)))
+        x, (word, lead, long) = self.table[tokens], self.flags[tokens].T
+        file = file_features(len(chunks), int(self.core[ids].sum()), text)
+        out = np.where(glued[:, None], self.glued, self.loose) + self._gain(list(file))
+        out[long] += self._gain(pem_features(file, True))
         seen, led = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
         for back in range(1, min(5, len(tokens))):
             use = word[:-back] & (seen[back:] < 2)
@@ -392,6 +471,7 @@ class Scorer(dict):
         out += np.where(led[:, None], x[:, 2:4], x[:, 0:2])
         out[:-1] += x[1:, 6:8]
         out[1:] += x[:-1, 8:10]
+        out[2:] += x[:-2, 10:12]
         out[0] += self.no_mark
         return out, glued, starts
 
