@@ -12,9 +12,10 @@ its score reaches the one that all but ``LOSS`` of those held-out documents
 reach; scores are compared in steps of ``STEP``, so the limit comes from a
 table of at most a few thousand counts and is the same in each run.
 
-Bounds: about ``TRUSTED_ROWS`` ids of trusted documents, taken by their hash,
-are broadcast (all of them, if there are fewer); the raw counts, the scores and
-the rules cover every document. What is gathered from the corpus is one pair
+The counts, the limit, the scores and the rules cover every document and every
+trusted id, each of which has one of the two parts. Up to ``BROADCAST_ROWS``
+trusted ids are broadcast; more of them meet the documents in a shuffle, which
+rows without a doc_id stay out of. What is gathered from the corpus is one pair
 of counts for each bucket, whatever the input.
 
 Defined results: null, empty and blank texts have no words and fail the rules;
@@ -36,7 +37,8 @@ from . import common
 BUCKETS, PRIOR = 1 << 16, 8.0
 #: Of five parts of the trusted documents one sets the limit; it may lose LOSS of them.
 HELD_OUT, LOSS = 5, 0.002
-TRUSTED_ROWS = 1_000_000
+#: So many trusted ids are broadcast; beyond, the same join is shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Numbers a unit of the logarithm, and how many of them are a step of the limit.
 UNIT, STEP = 1 << 20, 1 << 10
 SPACE = r"[\x20\x09-\x0D]+"
@@ -64,19 +66,27 @@ def hashed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id and held (it sets the limit) of documents with a label of quality 1, bounded by TRUSTED_ROWS."""
+    """doc_id and held (it sets the limit) of all documents with a label of quality 1."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    n = good.count()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT << 20))
-    taken = good.where(F.floor(draw / HELD_OUT) < F.lit((TRUSTED_ROWS << 20) // max(n, TRUSTED_ROWS)))
-    return common.stored(taken.select("doc_id", (F.pmod(draw, F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
+    return common.stored(good.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held")), "trusted")
 
 
-def feature_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def met(ids: DataFrame, few: bool) -> DataFrame:
+    """ids to join with: broadcast, or shuffled whatever size Spark takes them for."""
+    return F.broadcast(ids) if few else ids.hint("merge")
+
+
+def marked(docs: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """text and good: 1 if the row's doc_id is one of ids, else 0."""
+    ids = met(ids.select(F.col("doc_id").alias("good_id")), few)
+    rows, null = docs.select("doc_id", "text"), F.col("doc_id").isNull()
+    out = (rows if few else rows.where(~null)).join(ids, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().cast("long").alias("good"))
+    return out if few else out.unionAll(rows.where(null).select("text", F.lit(0).cast("long").alias("good")))  # else they would meet in one task
+
+
+def feature_counts(docs: DataFrame, trusted: DataFrame, few: bool = True) -> DataFrame:
     """bucket, raw and good (occurrences in all and in the trusted documents); one row a bucket at most."""
-    marks = F.broadcast(trusted.where("not held").select(F.col("doc_id").alias("good_id")))
-    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("good_id"), "left")
-    each = hashed(rows.select("text", F.col("good_id").isNotNull().cast("long").alias("good"))).select("good", F.explode(F.concat("h", "p")).alias("f"))
+    each = hashed(marked(docs, trusted.where("not held"), few)).select("good", F.explode(F.concat("h", "p")).alias("f"))
     return each.groupBy(bucket(F.col("f")).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("good").alias("good"))
 
 
@@ -124,9 +134,9 @@ def measured(docs: DataFrame, weight: list[int] | None) -> DataFrame:
     return rows.withColumn("n_repeat_words", repeats).withColumn("n_features", F.greatest(2 * F.col("n_words") - 1, F.lit(0).cast("long"))).drop("w")
 
 
-def limit(scored: DataFrame, trusted: DataFrame) -> int | None:
+def limit(scored: DataFrame, trusted: DataFrame, few: bool = True) -> int | None:
     """The step that all but LOSS of the held-out trusted documents reach; None without any."""
-    held = scored.where("n_features > 0").join(F.broadcast(trusted.where("held").select("doc_id")), "doc_id")
+    held = scored.where("n_features > 0").select("doc_id", "step").join(met(trusted.where("held").select("doc_id"), few), "doc_id")
     steps = sorted(map(tuple, held.groupBy("step").count().collect()))  # as many rows as steps, a few thousand at most
     allowed = int(sum(n for _, n in steps) * LOSS)
     for step, n in steps:
@@ -139,10 +149,11 @@ def limit(scored: DataFrame, trusted: DataFrame) -> int | None:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the rules' numbers, base_failed, kept, and score (the mean logarithm of the ratio; null without words)."""
     trusted = trusted_ids(labels)
-    weight = weights(feature_counts(docs, trusted))
+    few = trusted.count() <= BROADCAST_ROWS
+    weight = weights(feature_counts(docs, trusted, few))
     step = F.expr(f"ratio_sum div ({STEP} * greatest(n_features, 1)) - if(ratio_sum < 0, 1, 0)")  # a division that rounds down, but for multiples below zero
     scored = common.stored(measured(docs, weight).withColumn("step", step), "scored")
-    least = limit(scored, trusted) if weight else None
+    least = limit(scored, trusted, few) if weight else None
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     reached = F.lit(True) if least is None else F.col("step") >= least
     score = F.when(F.col("n_features") > 0, F.col("ratio_sum") / (F.col("n_features") * UNIT))

@@ -195,6 +195,22 @@ def test_quality_without_labels_or_rows(spark, docs, empty, tmp_path):
     assert QUERIES["op12_likelihood_ratio_quality"](spark, write(tmp_path, "documents", empty)).count() == 0
 
 
+def test_quality_counts_every_trusted_id(spark):
+    labels = spark.range(1_200_000).selectExpr("id doc_id", "1 quality", "0 toxic")
+    got = quality.trusted_ids(labels)
+    held = got.where("held").count()
+    assert got.count() == 1_200_000 and abs(held - 240_000) < 3_000
+
+
+def test_quality_by_shuffle(spark, docs, tmp_path, monkeypatch):
+    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(None, None), (None, "tea " * 9), (3, "tea behind old walls " * 2)], "doc_id long, text string"))
+    sf = write(tmp_path, "documents", rows)
+    write(tmp_path, "labels", spark.createDataFrame([(k, 1, 0) for k in (*range(0, 30, 2), 3, 3, 999)] + [(None, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int"))
+    want = spark_rows(QUERIES["op12_likelihood_ratio_quality"](spark, sf))
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    assert spark_rows(QUERIES["op12_likelihood_ratio_quality"](spark, sf)) == want and len(want) == rows.count()
+
+
 # hard negatives
 
 
