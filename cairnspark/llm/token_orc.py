@@ -7,8 +7,10 @@ documents reads the stripes that may hold them. Files hold ranges of doc_id in
 order; a row has the number of ids before it in its file, and the ids before
 a file come from one sum for each file.
 
-The tokenizer runs on one word at a time and remembers them: this vocabulary's
-normalizer and splitting rule never look across white space. New words of plain
+The tokenizer runs on one word at a time: this vocabulary's normalizer and
+splitting rule never look across white space. The different words of a batch
+are found with Arrow; plain letters with symbols behind them, as nearly all are,
+are cut there, and the ids of each lower-case part are remembered. New parts of
 letters are merged together, one piece after another. A text that holds the string of a special token is encoded as a whole.
 
 Defined results: null and empty texts hold the end id alone; very long texts
@@ -28,6 +30,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +41,11 @@ END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
 CACHE_WORDS = 400_000
-#: Letters whose lower case is one letter and whose composed form is themselves, and one mark behind them: each run of letters and each mark is one piece.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u0513]+)([.,;:!?]?)").fullmatch
+#: Letters whose lower case is one letter and whose composed form is themselves; a run of them is one piece, and so is one of symbols behind it.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u0513]"
+PLAIN = re.compile(f"{LETTERS}+").fullmatch
+#: ASCII's symbols without the apostrophe, which has rules of its own.
+WORD = rf"^(?P<head>{LETTERS}*)(?P<tail>[!-&(-/:-@\[-`{{-~]*)$"
 _LOADED: dict[int, WordTokenizer] = {}
 
 
@@ -51,7 +57,6 @@ class WordTokenizer:
         self.whole = Tokenizer.from_str(model)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.pieces = self._pieces(json.loads(model))
-        self.marks = {m: array("i", self.whole.encode(m, add_special_tokens=False).ids).tobytes() for m in ["", *".,;:!?"]}
         self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -68,43 +73,68 @@ class WordTokenizer:
         pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         return pieces
 
-    def learn(self, words: list[str]) -> None:
-        """Puts the ids of words, as bytes, into the newer half of what is remembered."""
-        known, plain, heads, other = self.newer, [], [], []
-        for w in words:
-            if (ids := self.older.get(w)) is not None:
+    def learn(self, parts: list[str]) -> None:
+        """Puts the ids of parts of words, as bytes, into the newer half of what is remembered."""
+        known, older, plain, other = self.newer, self.older, [], []
+        for w in parts:
+            if (ids := older.get(w)) is not None:
                 known[w] = ids
-            elif self.pieces is not None and (m := PLAIN(w)):
-                plain.append((w, head := m[1].lower(), m[2]))
-                if head not in known:
-                    heads.append(head)
             else:
-                other.append(w)
-        if heads := list(dict.fromkeys(heads)):
-            ids = np.array(self.pieces.encode_batch_fast([" ".join(heads)], add_special_tokens=False)[0].ids, np.int32)
+                (plain if self.pieces is not None and PLAIN(w) else other).append(w)
+        if plain := list(dict.fromkeys(plain)):
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int32)
             cuts, flat = [0, *(4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()], ids.tobytes()
-            known.update(zip(heads, (flat[i:j] for i, j in pairwise(cuts)), strict=True))
-        for w, head, mark in plain:
-            known[w] = known[head] + self.marks[mark]
+            known.update(zip(plain, (flat[i:j] for i, j in pairwise(cuts)), strict=True))
         for w, coded in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
             known[w] = array("i", coded.ids).tobytes()
 
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        known = list(map(self.newer.get, parts))
+        new = [w for w, ids in zip(parts, known, strict=True) if ids is None]
+        if not new:
+            return known
+        if len(self.newer) + len(new) > CACHE_WORDS:
+            self.older, self.newer, new = self.newer, {}, parts
+        self.learn(new)
+        return [self.newer[w] if ids is None else ids for w, ids in zip(parts, known, strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        texts = texts.fill_null("")
+        special = np.zeros(len(texts), bool)
+        for t in self.special:
+            special |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(special)
+        plain = pc.if_else(pa.array(~special), texts, "") if len(whole) else texts
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        cut = pc.extract_regex(words.dictionary, WORD)
+        heads = pc.if_else(cut.is_valid(), pc.utf8_lower(cut.field("head")), words.dictionary).dictionary_encode()
+        tails = pc.if_else(cut.is_valid(), cut.field("tail"), "").dictionary_encode()
+        ids = self.ids_of([*heads.dictionary.to_numpy(zero_copy_only=False), *tails.dictionary.to_numpy(zero_copy_only=False)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        both = np.stack([heads.indices.to_numpy(), tails.indices.to_numpy() + len(heads.dictionary)], axis=1).ravel()
+        flat, sizes = _runs(np.frombuffer(b"".join(ids), np.int32), sizes, both)
+        flat, sizes = _runs(flat, sizes.reshape(-1, 2).sum(axis=1), words.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()]
+        counts = np.diff(ends)
+        if len(whole):
+            coded = [self.whole.encode(texts[k].as_py(), add_special_tokens=False).ids for k in whole.tolist()]
+            counts[whole] = [len(c) for c in coded]
+            flat = np.insert(flat, np.repeat(ends[whole], counts[whole]), np.array(list(chain.from_iterable(coded)), np.int32))
+        return flat, counts
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        split = [None if not t or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
-        words = set(chain.from_iterable(w for w in split if w))
-        new = words.difference(self.newer)
-        if new and len(self.newer) + len(new) > CACHE_WORDS:
-            self.older, self.newer, new = self.newer, {}, words
-        if new:
-            self.learn(list(new))
-        out = []
-        for t, words in zip(texts, split, strict=True):
-            if words is not None:
-                out.append(b"".join(map(self.newer.__getitem__, words)))
-            else:
-                out.append(array("i", self.whole.encode(t, add_special_tokens=False).ids).tobytes() if t else b"")
-        return out
+        flat, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [flat[i:j].tobytes() for i, j in pairwise([0, *np.cumsum(counts).tolist()])]
+
+
+def _runs(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of these sizes that make up flat: those numbered which, one after the other, and their sizes."""
+    n = sizes[which]
+    move = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
+    return flat[np.arange(n.sum()) + np.repeat(move, n)], n
 
 
 def loaded(model: str) -> WordTokenizer:
@@ -129,11 +159,11 @@ def write_tokens(docs: DataFrame, path: str, model_path: str, end_id: int = END_
     rows = docs.select("doc_id", "text").repartitionByRange(parts or common.shuffle_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        tokenizer, before, end = loaded(model.value), 0, array("i", [end_id]).tobytes()
+        tokenizer, before = loaded(model.value), 0
         for b in batches:
-            coded = tokenizer.encode(b.column(1).to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(c) // 4 + 1 for c in coded], dtype=np.int64)])
-            flat = np.frombuffer(b"".join(chain.from_iterable((c, end) for c in coded)), np.int32)
+            coded, counts = tokenizer.encode_column(b.column(1))
+            ends = np.concatenate([[0], np.cumsum(counts + 1)])
+            flat = np.insert(coded, np.cumsum(counts), end_id)
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(before + ends[:-1]), pa.array(np.diff(ends)), ids], names=["doc_id", "part", "before", "n", "ids"])
             before += int(ends[-1])

@@ -379,6 +379,17 @@ def test_orc_tokens(spark, docs, empty, tmp_path):
     assert [np.frombuffer(b, np.int32).tolist() for b in coder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_share_the_parts_that_are_remembered():
+    lib = Tokenizer.from_file(token_orc.default_model())
+    coder, rnd = token_orc.WordTokenizer(open(token_orc.default_model(), encoding="utf-8").read()), random.Random(2)
+    words = ["river", "stone", "mère", "тихо", "x", ""]
+    tails = ["", ".", "$$$", "!!", ").", "***", "&&&", "|", "-", "_#"]
+    texts = [" ".join(rnd.choice([str.lower, str.upper, str.title])(rnd.choice(words)) + rnd.choice(tails) for _ in range(200)) for _ in range(30)]
+    texts += ["", texts[0] + "<|endoftext|>" + texts[1], None, "<|startoftext|>", "it's 3.5 日本 o'clock"]
+    assert [np.frombuffer(b, np.int32).tolist() for b in coder.encode(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(coder.newer) <= len(words) + len(tails) + 4  # not one for each way to write a word
+
+
 def test_language_stage_lets_the_model_decide(spark, docs):
     odd = docs.where("doc_id = 1").selectExpr("cast(900 as long) as doc_id", "repeat('漢字仮名交文', 20) as text", "cast(null as string) as lang", "source", "n_chars", "score")
     kept = {r.doc_id for r in langid.stage(spark, docs.unionByName(odd), "").collect()}
