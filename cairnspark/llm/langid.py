@@ -87,36 +87,40 @@ class PpmModel:
         grams = []  # by language and order: distinct context+symbol numbers and their counts
         for lang in langs:
             parts = [symbol[np.frombuffer(t, np.uint8)] for name, t in rows if name == lang]
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            at = np.concatenate([np.arange(len(p)) for p in parts]) if parts else flat
+            flat = np.concatenate(parts)
+            at = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])
+            del parts
             by_order, code = [], flat.copy()
             for k in range(ORDER + 1):
                 if k:
                     code[k:] += flat[:-k] * a**k
                 by_order.append(np.unique(code[at >= k], return_counts=True))
             grams.append(by_order)
-        context_rows, bases, tables, base = [], [], [], 0
-        shorter = np.full((1, a, len(langs)), 8.0)  # order -1: a uniform byte
-        shorter_rows = np.zeros(1, np.int64)
+        del flat, at, code
+        context_rows, bases, base, shorter_rows, shorter_row = [], [], 0, [], np.zeros(1, np.int32)
         for k in range(ORDER + 1):
             contexts = np.unique(np.concatenate([g[k][0] // a for g in grams] + [np.zeros(int(k == 0), np.int64)]))
             row = np.full(a**k, -1, np.int32)
             row[contexts] = np.arange(len(contexts))
-            cost = shorter[shorter_rows[contexts % a ** max(0, k - 1)]].copy() if k else shorter.copy()
-            for j, g in enumerate(grams):
-                codes, counts = g[k]
-                at, follower = row[codes // a], codes % a
-                total = np.bincount(at, counts, len(contexts))
-                kinds = np.bincount(at, minlength=len(contexts))
-                have = total > 0
-                cost[have, :, j] += (np.log2(total[have] + kinds[have]) - np.log2(kinds[have]))[:, None]
-                cost[at, follower, j] = np.log2(total[at] + kinds[at]) - np.log2(counts)
             context_rows.append(row)
             bases.append(base)
-            tables.append(cost.reshape(-1, len(langs)))
+            shorter_rows.append(shorter_row[contexts % a ** max(0, k - 1)])
             base += len(contexts) * a
-            shorter, shorter_rows = cost, row.astype(np.int64)
-        costs = np.ascontiguousarray(np.concatenate(tables).T.astype(np.float32))
+            shorter_row = row
+        costs = np.empty((len(langs), base), np.float32)
+        for j, g in enumerate(grams):  # one language after the other, so that one is held in double precision
+            cost = np.full((1, a), 8.0)  # order -1: a uniform byte
+            for k, (codes, counts) in enumerate(g):
+                cost = cost[shorter_rows[k]]
+                at, follower = context_rows[k][codes // a], codes % a
+                total = np.bincount(at, counts, len(cost))
+                kinds = np.bincount(at, minlength=len(cost))
+                have = np.flatnonzero(total > 0)
+                escape = np.zeros(len(cost))
+                escape[have] = np.log2(total[have] + kinds[have]) - np.log2(kinds[have])
+                cost += escape[:, None]
+                cost[at, follower] = np.log2(total[at] + kinds[at]) - np.log2(counts)
+                costs[j, bases[k] : bases[k] + cost.size] = cost.ravel()
         return cls(langs, symbol, a, context_rows, bases, costs, plain)
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -194,7 +198,9 @@ class PpmModel:
 
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> PpmModel:
-    return PpmModel.fit(training_rows(docs, per_lang))
+    model = PpmModel.fit(training_rows(docs, per_lang))
+    common.release()  # the driver's memory is small, and free pieces of it would stay
+    return model
 
 
 def identify(docs: DataFrame, model: PpmModel, text: str = "text", pred: str = "lang_pred", score: str = "score", told: str | None = None) -> DataFrame:
@@ -202,6 +208,7 @@ def identify(docs: DataFrame, model: PpmModel, text: str = "text", pred: str = "
     spark = docs.sparkSession
     common.tune(spark)
     shared = spark.sparkContext.broadcast(model)
+    common.release()
     schema = common.with_columns(docs.schema, T.StructField(pred, T.StringType(), False), T.StructField(score, T.DoubleType(), False), *([T.StructField(told, T.BooleanType(), False)] if told else []))
 
     def run(batches):

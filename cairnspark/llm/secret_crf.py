@@ -361,7 +361,7 @@ def placed_lines(n: int, seed: int = 9) -> list[tuple[str, list[tuple[int, int]]
 @lru_cache(maxsize=1)
 def trained(lines: int = 2000, placed: int = 1200, rounds: int = 5) -> Crf:
     crf = Crf({}, [[0.0, 0.0, -math.inf], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
-    samples = []
+    samples, names = [], {}  # one string for each name, as the samples hold millions and the weights keep a few
     for text, spans in generated_lines(lines) + harder_lines(lines) + placed_lines(placed):
         tokens, glued, spots = split_tokens(text)
         may, gold, file = states(tokens, glued), [OUT] * len(tokens), file_of(text)
@@ -369,12 +369,14 @@ def trained(lines: int = 2000, placed: int = 1200, rounds: int = 5) -> Crf:
             inside = [k for k, (i, j) in enumerate(spots) if a <= i and j <= b]
             for k in inside:
                 gold[k] = INSIDE if k > inside[0] else BEGIN
-        samples.append(([features(tokens, glued, k, file) for k in range(len(tokens))], may, gold))
+        samples.append(([[names.setdefault(f, f) for f in features(tokens, glued, k, file)] for k in range(len(tokens))], may, gold))
     rnd = random.Random(11)
     for k in range(rounds):
         rnd.shuffle(samples)
         for rows, may, gold in samples:
             crf.learn(rows, may, gold, 0.1 / (1 + k))
+    del samples, rows, may, gold
+    common.release()
     return crf
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from cairnspark.llm import alignment, hard_negatives, html_mincut, quality, suffix_dedup
+from cairnspark.llm import alignment, hard_negatives, html_mincut, langid, quality, secret_crf, suffix_dedup
 from cairnspark.llm.queries import ORACLE_SQL, QUERIES
 
 from test_operators import write
@@ -211,6 +212,29 @@ def test_quality_by_shuffle(spark, docs, tmp_path, monkeypatch):
     assert spark_rows(QUERIES["op12_likelihood_ratio_quality"](spark, sf)) == want and len(want) == rows.count()
 
 
+# memory of the driver
+
+
+def traced_peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_model_is_fitted_in_little_memory():
+    rng = random.Random(5)
+    rows = [(f"l{k % 6}", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ.,-0123456789", k=2000)).encode()) for k in range(60)]
+    model, peak = traced_peak(lambda: langid.PpmModel.fit(rows))
+    assert peak < 2.5 * (model.costs.nbytes + sum(r.nbytes for r in model.context_rows))
+
+
+def test_field_is_trained_in_little_memory():
+    crf, peak = traced_peak(lambda: secret_crf.trained.__wrapped__(100, 60, 1))
+    assert len(crf.weights) > 500 and peak < 5e6
+
+
 # hard negatives
 
 
